@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_quality
+from . import q_mixing, q_quality, q_windows
 
 QUERIES = {
     "op5_quality_rules": q_quality.op5_quality_rules,
     "op6_mixing": q_mixing.op6_mixing,
+    "op9_substring_dedup": q_windows.op9_substring_dedup,
 }
 ORACLES = {
     "op5_quality_rules": q_quality.OP5_SQL,
     "op6_mixing": q_mixing.OP6_SQL,
+    "op9_substring_dedup": q_windows.OP9_SQL,
 }
