@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_quality, q_windows
+from . import q_mixing, q_quality, q_simhash, q_windows
 
 QUERIES = {
+    "op1_simhash": q_simhash.op1_simhash,
     "op5_quality_rules": q_quality.op5_quality_rules,
     "op6_mixing": q_mixing.op6_mixing,
     "op9_substring_dedup": q_windows.op9_substring_dedup,
