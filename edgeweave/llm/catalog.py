@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_quality, q_simhash, q_windows
+from . import q_mixing, q_quality, q_simhash, q_suffixes, q_windows
 
 QUERIES = {
     "op1_simhash": q_simhash.op1_simhash,
     "op5_quality_rules": q_quality.op5_quality_rules,
     "op6_mixing": q_mixing.op6_mixing,
     "op9_substring_dedup": q_windows.op9_substring_dedup,
+    "op10_suffix_dedup": q_suffixes.op10_suffix_dedup,
 }
 ORACLES = {
     "op5_quality_rules": q_quality.OP5_SQL,
