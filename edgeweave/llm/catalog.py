@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_quality, q_simhash, q_suffixes, q_windows
+from . import q_mixing, q_packing, q_quality, q_simhash, q_suffixes, q_tokenfile, q_windows
 
 QUERIES = {
     "op1_simhash": q_simhash.op1_simhash,
@@ -10,6 +10,8 @@ QUERIES = {
     "op6_mixing": q_mixing.op6_mixing,
     "op9_substring_dedup": q_windows.op9_substring_dedup,
     "op10_suffix_dedup": q_suffixes.op10_suffix_dedup,
+    "op7_packing": q_packing.op7_packing,
+    "op8_token_files": q_tokenfile.op8_token_files,
 }
 ORACLES = {
     "op5_quality_rules": q_quality.OP5_SQL,
