@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_media, q_mixing, q_packing, q_quality, q_simhash, q_suffixes, q_tokenfile, q_toxicity, q_windows
+from . import q_licenses, q_media, q_mixing, q_packing, q_quality, q_simhash, q_suffixes, q_tokenfile, q_toxicity, q_windows
 
 QUERIES = {
     "op1_simhash": q_simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_token_files": q_tokenfile.op8_token_files,
     "op3_toxicity": q_toxicity.op3_toxicity,
     "op2_media": q_media.op2_media,
+    "op4_license_scan": q_licenses.op4_license_scan,
 }
 ORACLES = {
     "op5_quality_rules": q_quality.OP5_SQL,
