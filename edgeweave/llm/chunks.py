@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, shuffle_partitions
 
-CHUNKS_PER_PARTITION = 4
-BUCKETS_PER_PARTITION = 2
+CHUNKS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 1
 LISTS = "b int, g int, data binary"
 
 
