@@ -29,13 +29,16 @@ BUCKETS_PER_PARTITION = 1
 LISTS = "b int, g int, data binary"
 
 
-def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` as doc_id, id (never null), body (binary) and chunk number g, dealt out by g. Rows of one doc_id share a chunk."""
+def chunked(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` as doc_id, id (never null), body (binary) and chunk number g (and a struct of ``carry``), dealt out by g.
+
+    Rows of one doc_id share a chunk.
+    """
     n = shuffle_partitions(docs.sparkSession)
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     chunks = CHUNKS_PER_PARTITION * n
     cuts = docs.select(ident.alias("i")).agg(F.percentile_approx("i", [k / chunks for k in range(1, chunks)], 10 * chunks).alias("q")).first()["q"]
-    slim = docs.select("doc_id", ident.alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    slim = docs.select("doc_id", ident.alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), *([F.struct(*carry).alias("carry")] if carry else []))
     return slim.withColumn("g", _below(F.col("id"), sorted(set(cuts or [])))).repartition(n, "g")
 
 
@@ -48,10 +51,19 @@ def _below(value: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.get(table, at + s - 1) < value, s).otherwise(F.lit(0)))
 
 
+def _order(chunk: pa.Table) -> list[int]:
+    ids, bodies = chunk["id"].to_pylist(), chunk["body"].to_pylist()
+    return sorted(range(len(bodies)), key=lambda i: (ids[i], bodies[i]))
+
+
+def carried(chunk: pa.Table) -> pa.ChunkedArray:
+    """The carried columns in the order of ``in_order``."""
+    return chunk["carry"].take(pa.array(_order(chunk), pa.int64()))
+
+
 def in_order(chunk: pa.Table) -> tuple[list, list[bytes]]:
     """The chunk's doc_ids and texts by id; repeated ids by text."""
-    ids, bodies, doc_ids = chunk["id"].to_numpy(), chunk["body"].to_pylist(), chunk["doc_id"].to_pylist()
-    order = sorted(range(len(bodies)), key=lambda i: (ids[i], bodies[i]))
+    bodies, doc_ids, order = chunk["body"].to_pylist(), chunk["doc_id"].to_pylist(), _order(chunk)
     return [doc_ids[i] for i in order], [bodies[i] for i in order]
 
 

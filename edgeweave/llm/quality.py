@@ -160,8 +160,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    cols = docs.columns
-    feats = with_features(docs.withColumn("__key", text_key()))
     slim = with_features(docs.select("doc_id", "text", stratum).withColumn("__key", text_key())).drop("text")
-    chosen = materialise(cutoffs(slim, labels, stratum).coalesce(1), "cutoffs")
-    return judge(feats, chosen, stratum).where("kept").select(*cols)
+    chosen = materialise(cutoffs(materialise(slim, "quality"), labels, stratum).coalesce(1), "cutoffs")
+    # the row number keeps the optimizer from copying the features' expressions into the filter
+    feats = with_features(docs).withColumn("__row", F.monotonically_increasing_id())
+    return judge(feats, chosen, stratum).where("kept and __row >= 0").select(*docs.columns)

@@ -149,10 +149,10 @@ def near_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, dis
     return prints.join(member, F.col("fp") == F.col("m_fp")).select("doc_id", "fp", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, text: str = "text", shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def near_deduplicated(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id, with the columns of ``docs``.
 
-    Shingles of five words. Wordless documents are copies of one another. Rows
+    Wordless documents are copies of one another. Rows
     that share a doc_id stay or go together; a document without an id stays.
     """
     groups = near_groups(docs, text, shingle, distance)

@@ -37,11 +37,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import shuffle_partitions
+from .common import WORD, shuffle_partitions
 from .windows import SPANS
 
 LENGTH = 100
@@ -212,11 +212,14 @@ def _ranges(lead: np.ndarray, rest: np.ndarray, cuts: tuple[np.ndarray, np.ndarr
     return np.concatenate([[0], inner, [len(lead)]]).astype(np.int64)
 
 
-def repeated_suffixes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (removed byte intervals) and kept (the other bytes)."""
+def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (removed byte intervals) and kept (the other bytes).
+
+    With ``carry``, a struct of those columns of ``docs`` comes along.
+    """
     buckets = C.BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     cuts = _splitters(docs, text, buckets)
-    base = C.chunked(docs, text)
+    base = C.chunked(docs, text, carry)
 
     def send_spans(chunk: pa.Table) -> pa.Table:
         gram, context = Chunk(C.in_order(chunk)[1]).pairs
@@ -290,9 +293,30 @@ def repeated_suffixes(docs: DataFrame, text: str = "text") -> DataFrame:
             cut = C.runs(mask).tolist() if k else []
             spans.append([{"begin": x, "end": y} for x, y in cut])
             kept.append(b"".join(b[x:y] for x, y in zip([0] + [y for _, y in cut], [x for x, _ in cut] + [len(b)], strict=True)) if k else b)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
+        rest = {"carry": C.carried(chunk)} if carry else {}
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())} | rest)
 
     pairs = base.groupBy("g").applyInArrow(send_spans, C.LISTS).groupBy("b").applyInArrow(judge_spans, C.LISTS)
     lists = base.groupBy("g").cogroup(pairs.groupBy("g")).applyInArrow(send_suffixes, KINDS)
     answers = lists.groupBy("b").applyInArrow(judge_suffixes, KINDS)
-    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, OUT)
+    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, OUT + (f", carry {base.schema['carry'].dataType.simpleString()}" if carry else ""))
+
+
+def suffix_deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with repeated strings cut out of the text and n_chars (if there) counted anew.
+
+    Cuts may split a character: what is left of it goes too. Documents of which
+    no word is left go; those that had none to begin with stay.
+    """
+    others = [c for c in docs.columns if c != text]
+    out = repeated_suffixes(docs, text, [text, *others]).where((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(WORD))
+    whole = F.when(F.col("n_removed") == 0, F.col(f"carry.{text}")).otherwise(_characters("kept"))
+    out = out.select(whole.alias(text), *[F.col(f"carry.{c}").alias(c) for c in others])
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _characters(kept: str) -> Column:
+    """The text of UTF-8 bytes without the pieces of characters that a cut left."""
+    return F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "\ufffd+", "")
