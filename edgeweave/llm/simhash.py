@@ -41,8 +41,8 @@ from .common import materialise
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: (most fingerprints, blocks): key lengths of 12, 21, 27 and 32 bits.
-LADDER = ((1 << 17, 5), (1 << 26, 6), (1 << 32, 7), (1 << 62, 8))
+#: (most fingerprints, blocks): keys of 21, 27 and 32 bits.
+LADDER = ((1 << 26, 6), (1 << 32, 7), (1 << 62, 8))
 SLICE = 100_000
 
 
@@ -102,23 +102,31 @@ def apart(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) of the nodes of ``edges`` (a, b): alternating large-star and small-star."""
+    """node, root of the nodes of ``edges`` (a, b): the same root for all that edges connect.
+
+    Contraction: every node moves to the one of its neighbours and itself that
+    comes first in a random order (new each round), and edges follow. A node and
+    the one that it moves to stay connected, since their own edge follows too.
+    Only nodes that are first for some neighbour are left, so dense groups
+    collapse at once and the rounds grow with the logarithm of the longest chain.
+    """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    moves: list[DataFrame] = []
+    while e.limit(1).count():
+        first = lambda v: F.struct(F.xxhash64(v, F.lit(len(moves))).alias("h"), F.col(v).alias("v"))  # noqa: E731, B023
+        ways = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), first("b").alias("x")), F.struct(F.col("b").alias("u"), first("a").alias("x")))).alias("w")).select("w.*")
+        move = ways.groupBy("u").agg(F.min("x").alias("x")).withColumn("own", first("u")).select("u", F.least("x", "own")["v"].alias("to"))
+        move = materialise(move, "moves")
+        moves.append(move)
+        at = lambda c: move.select(F.col("u").alias(f"u_{c}"), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
+        e = e.join(at("a"), F.col("a") == F.col("u_a")).join(at("b"), F.col("b") == F.col("u_b")).where("to_a <> to_b")
+        e = materialise(e.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "edges")
+    if not moves:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = moves[-1].select(F.col("u").alias("node"), F.col("to").alias("root"))
+    for move in reversed(moves[:-1]):
+        out = move.join(out, F.col("to") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("root", "to").alias("root"))
+    return out
 
 
 def linked(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
