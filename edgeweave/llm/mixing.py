@@ -109,7 +109,7 @@ def mix_sources(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is used, in training order; a use of at least half its words counts."""
-    cols = docs.columns
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")
     uses = F.col("passes") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), F.lit(1)).otherwise(F.lit(0))
-    rows = mix_sources(docs, **how).withColumn("__uses", uses.cast("int")).where("__uses > 0")
-    return rows.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*cols)
+    rows = mix_sources(whole, **how).withColumn("__uses", uses.cast("int")).where("__uses > 0")
+    return rows.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select("__doc.*")

@@ -14,8 +14,9 @@ DataFrame functions only. Nulls: a null text has no words; a null stratum is a
 stratum of its own; labels that are null or contradict each other are left out.
 Copies of a text count once in the test, since they are not independent. A
 stratum with too few labelled documents gets no cutoff, and only the base test
-applies to it. Repeated rows are judged row by row. Columns of the input keep
-their names; those that clash with the added ones are replaced.
+applies to it. Repeated rows are judged row by row. ``quality_filter`` returns the
+columns of its input untouched; ``with_features`` replaces those that clash with
+the ones it adds. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,5 +164,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     slim = with_features(docs.select("doc_id", "text", stratum).withColumn("__key", text_key())).drop("text")
     chosen = materialise(cutoffs(materialise(slim, "quality"), labels, stratum).coalesce(1), "cutoffs")
     # the row number keeps the optimizer from copying the features' expressions into the filter
-    feats = with_features(docs).withColumn("__row", F.monotonically_increasing_id())
-    return judge(feats, chosen, stratum).where("kept and __row >= 0").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "text", stratum)
+    feats = with_features(whole).withColumn("__row", F.monotonically_increasing_id())
+    return judge(feats, chosen, stratum).where("kept and __row >= 0").select("__doc.*")

@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text,
-each on the words its class has at several times the rate of the other (what
-both share would only teach both dictionaries the language). A text is cut into
-overlapping windows of ``WINDOW`` bytes; each is compressed with both. The
+Two zstandard dictionaries stand for toxic and ordinary text. Both begin with
+the same trained dictionary of ordinary text, so that common language costs the
+same with either; then come the ``OWN`` words that most texts of the class have,
+of those it has at several times the rate of the other class. A text is cut
+into overlapping windows of ``WINDOW`` bytes; each is compressed with both. The
 distance of a window is by how many bytes the toxic dictionary does better; a
-text's is that of its best window plus the mean over its windows. Distances are
-calibrated to probabilities on all labelled rows that learning may see: counts
-per distance step, made monotone (pool adjacent violators).
+text's is that of its best window plus twice the mean over its windows.
+Distances are calibrated to probabilities on all labelled rows that learning
+may see: counts per distance step, made monotone (pool adjacent violators).
 
 The dictionaries come from a bounded sample (``TRAIN_TOXIC`` and
 ``TRAIN_ORDINARY`` documents of at most ``TRAIN_BYTES`` bytes, the first in the
@@ -36,12 +37,14 @@ from .common import materialise
 TRAIN_TOXIC = 2000
 TRAIN_ORDINARY = 4000
 TRAIN_BYTES = 20_000
-DICTIONARY = 2048
-WINDOW = 96
-STEP = 72
+#: Bytes of the shared dictionary, the windows it is trained on, and the words of a class.
+DICTIONARY, TRAIN_WINDOWS = 4096, 40_000
+OWN = 100
+WINDOW = 48
+STEP = 36
 LEVEL = 3
 #: Distances are kept in steps of 1 / SCALE, between LOW and HIGH.
-SCALE, LOW, HIGH = 4, -40, 80
+SCALE, LOW, HIGH = 8, -40, 80
 THRESHOLD = 0.3
 
 
@@ -55,23 +58,28 @@ def own_words(mine: list[bytes], other: list[bytes], least: int = 3, times: floa
     return {w for w, n in a.items() if n >= least and n / len(mine) > times * (b[w] + 0.5) / max(1, len(other))}
 
 
-def train(mine: list[bytes], other: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A dictionary for the class of ``mine``; raw content where there is too little to train on."""
-    own = own_words(mine, other)
-    samples = []
-    for t in mine:
-        w = [x for x in t.split() if x in own]
-        samples += [b" " + b" ".join(w[i : i + 6]) + b" " for i in range(0, len(w), 6)]
+def base_dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
+    """Trained content of ordinary text; its commonest words where there is too little to train on."""
+    windows = [t[i : i + 96] for t in texts for i in range(0, len(t), 96)]
+    step = max(1, len(windows) // TRAIN_WINDOWS)
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, windows[::step]).as_bytes()[-size + 300 :]
     except zstandard.ZstdError:
-        times = Counter(w for s in samples for w in s.split())
+        times = Counter(w for t in texts for w in t.split())
         return (b" " + b" ".join(w for w, _ in sorted(times.items(), key=lambda x: (x[1], x[0]))))[-size:]
 
 
+def class_dictionary(base: bytes, mine: list[bytes], other: list[bytes]) -> bytes:
+    """``base`` and the words of the class, the commonest last (where matches are cheapest)."""
+    own = own_words(mine, other)
+    times = Counter(w for t in mine for w in set(t.split()) if w in own)
+    best = sorted(times.items(), key=lambda x: (-x[1], x[0]))[:OWN]
+    return base + b" " + b" ".join(w for w, _ in reversed(best)) + b" "
+
+
 class Distance:
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.sides = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (ordinary, toxic)]
+        self.sides = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for d in (ordinary, toxic)]
 
     def of(self, body: bytes) -> float:
         ordinary, toxic = (s.compress for s in self.sides)
@@ -81,7 +89,7 @@ class Distance:
             w = text[i : i + WINDOW]
             d = len(ordinary(w)) - len(toxic(w))
             best, total, n = max(best, d), total + d, n + 1
-        return best + total / n
+        return best + 2 * total / n
 
 
 def distances(docs: DataFrame, toxic: bytes, ordinary: bytes, text: str = "text") -> DataFrame:
@@ -135,7 +143,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
     known = materialise(clear_labels(labels), "labels")
     bad = training_texts(docs, known, 1, TRAIN_TOXIC, text)
     good = training_texts(docs, known, 0, TRAIN_ORDINARY, text)
-    found = materialise(distances(docs, train(bad, good), train(good, bad), text), "distances")
+    base = base_dictionary(good)
+    found = materialise(distances(docs, class_dictionary(base, bad, good), class_dictionary(base, good, bad), text), "distances")
     bins = (HIGH - LOW) * SCALE + 1
     counts = found.join(known, "doc_id").groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()  # at most ``bins`` rows
     seen, hits = [0] * bins, [0] * bins
