@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, shuffle_partitions
+from .common import LAST_ID, materialise, shuffle_partitions
 from .tokens import default_path, encoder
 
 #: Selector: (values a word, bits a value). 15 is the escape.
@@ -189,6 +189,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = heads.withColumn("before", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts.select("part", "first"), "part").select("part", "seq", (F.col("first") + F.col("before")).alias("base"))
+    starts = materialise(starts, "starts")  # its true size decides how it is joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
