@@ -72,6 +72,17 @@ def _bag_literal(v: Column) -> Column:
     return F.when(v.endswith("%") & ~v.startswith('"'), number_text(_number(v))).when(v.rlike(rf"^{_DATE}$"), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
 
 
+def _typed_sql(f: str) -> str:
+    """The typed value of field ``f`` in the map of literals ``m``, as SQL: one expression for 30 fields is quick to plan."""
+    v = f"element_at(m, '{f}')"
+    bare = f"CASE WHEN startswith({v}, '\"') THEN substring({v}, 2, length({v}) - 2) ELSE {v} END"
+    if f in DOUBLES:
+        return f"CASE WHEN {v} = 'true' THEN 1D WHEN {v} = 'false' THEN 0D WHEN endswith({v}, '%') THEN try_cast(rtrim('%', {v}) AS double) / 100 ELSE try_cast({bare} AS double) END"
+    if f == "priority":
+        return f"CASE WHEN endswith({v}, '%') AND NOT startswith({v}, '\"') THEN CAST(try_cast(rtrim('%', {v}) AS double) / 100 AS string) WHEN {v} RLIKE r'^{_DATE}$' THEN concat('\"', {v}, '\"') ELSE {v} END"
+    return bare
+
+
 def _edges(texts: DataFrame) -> DataFrame:
     """One row a hop of valid texts (doc_id, body): the edge table, and whether it is the first hop of its statement.
 
@@ -88,16 +99,13 @@ def _edges(texts: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "stmt_idx", F.col("before").startswith("[").alias("first_hop"), inner("before").alias("a"), inner("hop").alias("b"), F.regexp_extract("hop", "(?U)" + _MOD, 0).alias("mod"))
     rows = rows.withColumn("m", F.map_from_entries(_entries(F.col("mod"))))
     ns = lambda c: F.when(F.size(c) > 1, F.get(c, F.lit(0)))
-    typed = []
-    for f in FIELDS:
-        v = F.element_at("m", F.lit(f))
-        typed.append((_number(v) if f in DOUBLES else _bag_literal(v) if f == "priority" else unquoted(v)).alias(f))
+    typed = F.expr("struct(" + ", ".join(f"{_typed_sql(f)} AS {f}" for f in FIELDS) + ")")
     bag = F.transform_values(F.map_filter("m", lambda k, v: ~k.isin(*FIELDS)), lambda k, v: _bag_literal(v))
     none = F.lit(None).cast("string")
     has = F.col("mod") != ""
     return rows.select(
         "doc_id", "stmt_idx", "first_hop", F.element_at("a", -1).alias("source"), ns(F.col("a")).alias("source_namespace"), none.alias("source_type"), F.element_at("b", -1).alias("target"), ns(F.col("b")).alias("target_namespace"), none.alias("target_type"),
-        F.lit(ARROW).alias("arrow"), none.alias("path_type"), has.alias("has_modifiers"), F.when(has, F.struct(*typed)).alias("modifiers"), F.when(F.size(bag) > 0, bag).alias("extra"),
+        F.lit(ARROW).alias("arrow"), none.alias("path_type"), has.alias("has_modifiers"), F.when(has, typed).alias("modifiers"), F.when(F.size(bag) > 0, bag).alias("extra"),
     )
 
 
