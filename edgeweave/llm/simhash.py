@@ -105,17 +105,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of the nodes of ``edges`` (a, b): the same root for all that edges connect.
 
     Contraction: every node moves to the one of its neighbours and itself that
-    comes first in a random order (new each round), and edges follow. A node and
-    the one that it moves to stay connected, since their own edge follows too.
-    Only nodes that are first for some neighbour are left, so dense groups
-    collapse at once and the rounds grow with the logarithm of the longest chain.
+    has most neighbours, the first in a random order (new each round) among
+    equals, and edges follow. A node and the one that it moves to stay connected,
+    since their own edge follows too. Only nodes that are first for some
+    neighbour are left: stars and dense groups collapse at once, and on chains
+    the random order leaves a constant share, so rounds grow with a logarithm.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     moves: list[DataFrame] = []
     while e.limit(1).count():
-        first = lambda v: F.struct(F.xxhash64(v, F.lit(len(moves))).alias("h"), F.col(v).alias("v"))  # noqa: E731, B023
-        ways = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), first("b").alias("x")), F.struct(F.col("b").alias("u"), first("a").alias("x")))).alias("w")).select("w.*")
-        move = ways.groupBy("u").agg(F.min("x").alias("x")).withColumn("own", first("u")).select("u", F.least("x", "own")["v"].alias("to"))
+        ways = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("w")).select("w.*")
+        many = ways.groupBy("u").agg(F.count("*").alias("n")).select(F.col("u").alias("x"), F.struct((-F.col("n")).alias("n"), F.xxhash64("u", F.lit(len(moves))).alias("h"), F.col("u").alias("v")).alias("r"))
+        best = ways.join(many, F.col("v") == F.col("x")).groupBy("u").agg(F.min("r").alias("best"))
+        move = best.join(many, F.col("u") == F.col("x")).select("u", F.least("best", "r")["v"].alias("to"))
         move = materialise(move, "moves")
         moves.append(move)
         at = lambda c: move.select(F.col("u").alias(f"u_{c}"), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
