@@ -60,7 +60,7 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     choice = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
         k, width = SELECTORS[s]
-        choice[_window_max(bits, k)[:, :BLOCK] <= width] = s
+        np.putmask(choice, _window_max(bits, k)[:, :BLOCK] <= width, s)
     pos, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
     while len(live):
         at = live * BLOCK + pos[live]
@@ -86,6 +86,11 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bit_length(v: np.ndarray) -> np.ndarray:
+    if v.size and (most := int(v.max())) < 1 << 20:  # by table, as for ranks
+        table = np.zeros(most + 1, np.uint8)
+        for k in range(most.bit_length()):
+            table[1 << k :] = k + 1
+        return table[v]
     out = np.zeros(v.shape, np.uint8)
     x = v.copy()
     for k in (32, 16, 8, 4, 2, 1):
@@ -125,11 +130,16 @@ def unpack_words(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n:
 
 def write_file(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
     """The bytes of one file: documents with ``lengths`` ids each, one after another in ``ids`` (below 2^32)."""
-    found, inverse, times = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        found = np.flatnonzero(counts)
+        times, place = counts[found], ids
+    else:
+        found, place, times = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-times, kind="stable")
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
-    words, offsets, escapes = pack_words(rank[inverse])
+    rank = np.zeros(int(found.max()) + 1 if place is ids and len(ids) else len(found), np.uint64)
+    rank[found[order] if place is ids and len(ids) else order] = np.arange(len(order), dtype=np.uint64)
+    words, offsets, escapes = pack_words(rank[place])
     head = np.array([len(doc_ids), len(ids), len(found), len(words), len(offsets), len(escapes)], "<u8")
     parts = (head, np.array(doc_ids, "<i8"), np.array(lengths, "<u8"), found[order].astype("<u4"), offsets.astype("<u4"), words.astype("<u8"), escapes.astype("<u8"))
     return MAGIC + b"".join(p.tobytes() for p in parts)
