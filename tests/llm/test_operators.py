@@ -327,7 +327,7 @@ def test_quality(spark, docs, rows, empty):
     assert Counter(r.doc_id for r in kept.collect()) == verdict
     assert {r.n_words for r in kept.collect()} == {"w"}
     assert quality.quality_report(empty, labels).count() == 0
-    assert quality.quality_report(docs, labels.where("false")).where("kept <> not base_failed").count() == 0
+    assert quality.quality_report(docs, labels.where("false")).where("kept = base_failed").count() == 0
 
 
 def test_risk_bound(spark):
@@ -433,7 +433,7 @@ def test_packing(docs, rows, empty):
             at += length
         assert at <= 256
     total = sum(r.length for r in out)
-    assert len(sequences) <= -(-total // 256) + 1
+    assert len(sequences) <= 1.03 * -(-total // 256) + 1
     assert packing.packed(empty).count() == 0
 
 
