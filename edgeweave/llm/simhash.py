@@ -136,8 +136,8 @@ def linked(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     blocks = key_blocks(nodes.count())
     keyed = nodes.withColumn("k", F.explode(block_keys(F.col("fp"), blocks, distance))).select("k.c", "k.key", "fp", "n")
     pivots = keyed.groupBy("c", "key").agg(F.count("*").alias("m"), F.array(F.max_by("fp", F.struct("n", "fp")), F.min("fp"), F.max("fp")).alias("pivots")).where("m > 1")
-    near = keyed.join(pivots, ["c", "key"]).select(F.col("fp").alias("a"), F.explode("pivots").alias("b"))
-    first = components(near.where((F.col("a") != F.col("b")) & (apart(F.col("a"), F.col("b")) <= distance)))
+    close = F.filter("pivots", lambda p: (p != F.col("fp")) & (apart(p, F.col("fp")) <= distance))
+    first = components(keyed.join(pivots, ["c", "key"]).select(F.col("fp").alias("a"), F.explode(close).alias("b")))
     of = lambda d: materialise(nodes.join(d, nodes["fp"] == d["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "nodes")
     placed = of(first)
     keyed = placed.withColumn("k", F.explode(block_keys(F.col("fp"), blocks, distance))).select("k.c", "k.key", "fp", "root")
@@ -154,7 +154,8 @@ def near_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, dis
     nodes = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "nodes")
     roots = linked(nodes.select("fp", "n"), distance).withColumnRenamed("fp", "r_fp")
     member = nodes.join(roots, F.col("fp") == F.col("r_fp")).select("fp", "least", "root")
-    named = member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "n_root")
+    # stored, so that both sides are dealt out for the join alone and a large component can be split
+    named = materialise(member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "n_root"), "roots")
     member = materialise(member.join(named, F.col("root") == F.col("n_root")).select(F.col("fp").alias("m_fp"), "component_id"), "members")
     return prints.join(member, F.col("fp") == F.col("m_fp")).select("doc_id", "fp", "component_id")
 
