@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .values import col, let
 
-# Fixed values of the text format.
+# Fixed values of the text format: the tag of a fence, arrow variants, misspelt keys, fields of a unit range.
 FENCE_TAG = "stl"
 ARROWS = (("➔", "->"), ("➡", "->"), ("➜", "->"), ("⮕", "->"), ("＝＞", "->"), ("=>", "->"), ("- >", "->"), ("—>", "->"), ("–>", "->"))
 TYPOS = {
@@ -16,7 +16,7 @@ TYPOS = {
     "certianty": "certainty", "certinty": "certainty", "conditionalty": "conditionality", "intensty": "intensity",
 }
 CLAMPED = ("certainty", "confidence", "intensity", "strength")
-STATEMENT_TYPES = ("complete_stl", "minimal_stl")
+STATEMENT_TYPES = ("complete_statement", "minimal_statement")
 _ENDS = r"^\s+|\s+$"
 
 
@@ -47,7 +47,7 @@ def _type_of(s: Column) -> Column:
         .when(brackets & arrow & two, STATEMENT_TYPES[1])
         .when(brackets & arrow, "possible_syntax_error")
         .when(~brackets & ~arrow, "natural_language")
-        .otherwise("not_stl")
+        .otherwise("not_statement")
     )
 
 

@@ -176,7 +176,7 @@ def _kinds(s, d) -> DataFrame:
     return o.select("o_orderkey", line.alias("line"))
 
 
-@registered("line_classify", "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'complete_stl' WHEN 1 THEN 'minimal_stl' WHEN 2 THEN 'comment' WHEN 3 THEN 'markdown_list' WHEN 4 THEN 'markdown_quote' WHEN 5 THEN 'not_stl' WHEN 6 THEN 'natural_language' WHEN 7 THEN 'markdown_link' ELSE 'empty' END AS kind FROM orders")
+@registered("line_classify", "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'complete_statement' WHEN 1 THEN 'minimal_statement' WHEN 2 THEN 'comment' WHEN 3 THEN 'markdown_list' WHEN 4 THEN 'markdown_quote' WHEN 5 THEN 'not_statement' WHEN 6 THEN 'natural_language' WHEN 7 THEN 'markdown_link' ELSE 'empty' END AS kind FROM orders")
 def line_classify(s, d):
     return _kinds(s, d).select("o_orderkey", L.line_type("line").alias("kind"))
 
@@ -189,7 +189,7 @@ def merge_multiline(s, d):
 
 @registered("fence_extract", f"WITH {_P} SELECT p_partkey::VARCHAR AS doc_id, source, target, 'fenced' AS format FROM p")
 def fence_extract(s, d):
-    t = _texts(s, d).withColumn("text", F.concat(F.lit("# Notes\nwords [x] -> [y]\n```stl\n"), "text", F.lit("\n```\nmore words")))
+    t = _texts(s, d).withColumn("text", F.concat(F.lit(f"# Notes\nwords [x] -> [y]\n```{L.FENCE_TAG}\n"), "text", F.lit("\n```\nmore words")))
     doc = parse_documents(t, "auto")
     return doc.statements.join(doc.documents, "doc_id").select("doc_id", "source", "target", "format")
 

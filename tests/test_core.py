@@ -88,7 +88,7 @@ def test_all_or_nothing(spark):
 
 
 def test_extraction(spark):
-    md = "# Title\n\nwords\n```stl\n[A] -> [B]\n[C] -> [D]\n```\n[E] -> [F]\n"
+    md = f"# Title\n\nwords\n```{L.FENCE_TAG}\n[A] -> [B]\n[C] -> [D]\n```\n[E] -> [F]\n"
     doc = parsed(spark, md, mode="auto")
     assert doc.documents.first().format == "fenced" and doc.statements.count() == 2
     mixed = parsed(spark, "Some prose.\nMore of it.\n[A] -> [B] ::mod(confidence=0.9)\nand\n[C] -> [D]\n", mode="auto")
@@ -106,7 +106,7 @@ def test_merge(spark):
 
 def test_line_types(spark):
     lines = ["", "# c", "[a](b) -> [c]", "- x", "-> [A] [B]", "> q", "[A] -> [B] ::mod(a=1)", "[A] → [B]", "[A -> B]", "[A] note", "words"]
-    assert per_item(spark, lines, L.line_type) == ["empty", "comment", "markdown_link", "markdown_list", "minimal_stl", "markdown_quote", "complete_stl", "minimal_stl", "possible_syntax_error", "not_stl", "natural_language"]
+    assert per_item(spark, lines, L.line_type) == ["empty", "comment", "markdown_link", "markdown_list", "minimal_statement", "markdown_quote", "complete_statement", "minimal_statement", "possible_syntax_error", "not_statement", "natural_language"]
 
 
 def test_scalars(spark):
