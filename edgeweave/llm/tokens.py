@@ -12,25 +12,28 @@ library's model; units beyond Latin letters go through the whole library.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 import public_tokenizers
 import regex
 
-#: Entries a cache may hold before it starts anew; bounds a worker's memory.
-CACHE = 150_000
+#: Entries the caches of units and of tokens may hold before they start anew; they bound a worker's memory (about 200 bytes an entry).
+UNITS, TOKENS = 300_000, 500_000
 _GAPS = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = frozenset(".,;:!?")
 _SAVED: dict[str, Encoder] = {}
 
 
 class _Units(dict):
-    def __init__(self, encode, lead: str):
+    def __init__(self, encode, lead: str, most: int):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.most = encode, lead, most
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         out = self[unit] = self.encode(self.lead + unit)
         return out
@@ -46,15 +49,28 @@ class Encoder:
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.space = _byte_letters()[32]
         self.letters = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
-        self.tokens = _Units(self._token, "")
-        self.later, self.start = _Units(self._unit, " "), _Units(self._unit, "")
+        self.tokens = _Units(self._token, "", TOKENS)
+        self.later, self.start = _Units(self._unit, " ", UNITS), _Units(self._unit, "", UNITS // 10)
 
     def _token(self, token: str) -> bytes:
-        shown = token.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if token.isascii() and token[1:].isalpha() and token[0] == " ":
+            shown = self.space + token[1:]  # ASCII letters stand for themselves
+        else:
+            shown = token.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        # letters after at most one space are one token, and so is a mark after them
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self.tokens[unit]
+        if word[-1:] in _MARKS and word[:-1].isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self.tokens[unit[:-1]] + self.tokens[unit[-1]]
         if unit.isascii() or max(unit) < "ɐ":
             return b"".join(map(self.tokens.__getitem__, self.pattern.findall(unit)))
         return np.array(self.whole.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
