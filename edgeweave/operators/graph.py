@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ from ..functions.values import source_id, target_id, unquoted
 
 #: Relations that should have one target.
 FUNCTIONAL = ("has_color", "is_a", "located_in", "defined_as")
-MAX_PATH = 32
 
 
 def edges(statements: DataFrame) -> DataFrame:
@@ -61,17 +62,17 @@ def _adjacent(statements: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration with a reliable checkpoint where the session has a folder for it."""
+    """Cuts the lineage of an iteration: with a reliable checkpoint where the session has a folder for it, else in the executors' storage."""
     sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
 
 
-def simple_paths(statements: DataFrame, start: str, end: str, max_length: int = MAX_PATH) -> DataFrame:
+def simple_paths(statements: DataFrame, start: str, end: str, max_length: int | None = None) -> DataFrame:
     """path (array of ids) and edges of every simple path; parallel edges give repeated paths. E302 for absent ends.
 
     A frontier join a step, each path carrying its nodes: the work follows the
-    number of simple paths, which is exponential in dense graphs; ``max_length``
-    bounds the edges of a path.
+    number of simple paths, which is exponential in dense graphs; ``max_length``, if
+    given, bounds the edges of a path.
     """
     adj = _adjacent(statements)
     known = edges(statements).select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").isin(start, end)).distinct().count()
@@ -80,7 +81,7 @@ def simple_paths(statements: DataFrame, start: str, end: str, max_length: int =
     # only nodes between the ends can be on a path
     step = adj.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), "m").where(F.col("at") != start)
     found = None
-    for _ in range(max_length):
+    for _ in count() if max_length is None else range(max_length):
         step = _cut(step)
         done = step.where(F.col("at") == end)
         found = done if found is None else found.unionByName(done)
@@ -92,11 +93,12 @@ def simple_paths(statements: DataFrame, start: str, end: str, max_length: int =
     return found.select("path", F.size("path").alias("length"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy")).drop("copy")
 
 
-def cycles(statements: DataFrame, max_length: int = MAX_PATH) -> DataFrame:
+def cycles(statements: DataFrame, max_length: int | None = None) -> DataFrame:
     """cycle (array of ids, smallest first) of every simple cycle, self-loops included, each once.
 
     Nodes without a way in or out can't be on a cycle and are pruned first;
-    paths grow only over nodes above their start.
+    paths grow only over nodes above their start, until none is open or, if
+    given, over ``max_length`` steps.
     """
     adj = _adjacent(statements).select("src", "dst")
     while True:
@@ -107,7 +109,7 @@ def cycles(statements: DataFrame, max_length: int = MAX_PATH) -> DataFrame:
             break
     found = adj.where("src = dst").select(F.array("src").alias("cycle"))
     step = adj.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("at"))
-    for _ in range(max_length):
+    for _ in count() if max_length is None else range(max_length):
         step = _cut(step)
         if not step.limit(1).count():
             break
