@@ -212,10 +212,23 @@ def _ranges(lead: np.ndarray, rest: np.ndarray, cuts: tuple[np.ndarray, np.ndarr
     return np.concatenate([[0], inner, [len(lead)]]).astype(np.int64)
 
 
-def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def whole_characters(body: bytes, mask: np.ndarray) -> np.ndarray:
+    """``mask`` of bytes widened to the UTF-8 characters that it touches; a stray byte is one by itself."""
+    raw, at = np.frombuffer(body, np.uint8), np.arange(len(body))
+    begin = (raw & 0xC0) != 0x80
+    lead = np.maximum.accumulate(np.where(begin, at, 0))
+    size = np.select([raw >= 0xF0, raw >= 0xE0, raw >= 0xC0], [4, 3, 2], 1)
+    begin |= at - lead >= size[lead]
+    begin[:1] = True
+    char = np.cumsum(begin) - 1
+    return np.bincount(char, mask)[char] > 0
+
+
+def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | None = None, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte intervals) and kept (the other bytes).
 
-    With ``carry``, a struct of those columns of ``docs`` comes along.
+    With ``carry``, a struct of those columns of ``docs`` comes along. With
+    ``whole``, characters that a cut splits are missing from kept too.
     """
     buckets = C.BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     cuts = _splitters(docs, text, buckets)
@@ -292,6 +305,8 @@ def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | No
             removed.append(k)
             cut = C.runs(mask).tolist() if k else []
             spans.append([{"begin": x, "end": y} for x, y in cut])
+            if whole and k:
+                cut = C.runs(whole_characters(b, mask)).tolist()
             kept.append(b"".join(b[x:y] for x, y in zip([0] + [y for _, y in cut], [x for x, _ in cut] + [len(b)], strict=True)) if k else b)
         rest = {"carry": C.carried(chunk)} if carry else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())} | rest)
@@ -309,7 +324,7 @@ def suffix_deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     no word is left go; those that had none to begin with stay.
     """
     others = [c for c in docs.columns if c != text]
-    out = repeated_suffixes(docs, text, [text, *others]).where((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(WORD))
+    out = repeated_suffixes(docs, text, [text, *others], whole=True).where((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(WORD))
     whole = F.when(F.col("n_removed") == 0, F.col(f"carry.{text}")).otherwise(_characters("kept"))
     out = out.select(whole.alias(text), *[F.col(f"carry.{c}").alias(c) for c in others])
     if "n_chars" in others:
@@ -318,5 +333,5 @@ def suffix_deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _characters(kept: str) -> Column:
-    """The text of UTF-8 bytes without the pieces of characters that a cut left."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "\ufffd+", "")
+    """The text of UTF-8 bytes."""
+    return F.make_valid_utf8(F.col(kept).cast("string"))
