@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..functions.values import source_id, target_id, unquoted
+from ..storage import cut
 
 #: Relations that should have one target.
 FUNCTIONAL = ("has_color", "is_a", "located_in", "defined_as")
@@ -61,12 +62,6 @@ def _adjacent(statements: DataFrame) -> DataFrame:
     return edges(statements).groupBy("src", "dst").agg(F.count("*").alias("m"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: with a reliable checkpoint where the session has a folder for it, else in the executors' storage."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
-
-
 def simple_paths(statements: DataFrame, start: str, end: str, max_length: int | None = None) -> DataFrame:
     """path (array of ids) and edges of every simple path; parallel edges give repeated paths. E302 for absent ends.
 
@@ -82,7 +77,7 @@ def simple_paths(statements: DataFrame, start: str, end: str, max_length: int |
     step = adj.where(F.col("src") == start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), "m").where(F.col("at") != start)
     found = None
     for _ in count() if max_length is None else range(max_length):
-        step = _cut(step)
+        step = cut(step)
         done = step.where(F.col("at") == end)
         found = done if found is None else found.unionByName(done)
         open_ = step.where(F.col("at") != end)
@@ -104,13 +99,13 @@ def cycles(statements: DataFrame, max_length: int | None = None) -> DataFrame:
     while True:
         n = adj.count()
         ins, outs = adj.select(F.col("dst").alias("src")).distinct(), adj.select(F.col("src").alias("dst")).distinct()
-        adj = _cut(adj.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
+        adj = cut(adj.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
         if adj.count() == n:
             break
     found = adj.where("src = dst").select(F.array("src").alias("cycle"))
     step = adj.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("at"))
     for _ in count() if max_length is None else range(max_length):
-        step = _cut(step)
+        step = cut(step)
         if not step.limit(1).count():
             break
         nxt = step.alias("p").join(adj.alias("e"), F.col("p.at") == F.col("e.src"))
