@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import ctypes
+import inspect
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeweave.storage import shared_dir
+
 #: A word: a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The six characters between words.
@@ -22,20 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="edgeweave-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -59,3 +48,52 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+#: Bytes of an Arrow batch that Spark sends to a Python function; bounds what a worker and the JVM beside it hold.
+BATCH_BYTES = 4 << 20
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """Lets this worker process give freed arrays back to the system at once, so that idle workers hold little."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(_ARENA_MAX, 1)
+            libc.mallopt(_MMAP_THRESHOLD, 2 << 20)
+        except (OSError, AttributeError):  # another C library: only the footprint differs
+            pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` from now on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches in a lean worker."""
+    small_batches(df.sparkSession)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        yield from run(batches)
+
+    return df.mapInArrow(inner, schema)
+
+
+def leanly(f: Callable) -> Callable:
+    """``f`` (of one or two tables) for ``applyInArrow``, in a lean worker."""
+
+    def one(table: pa.Table) -> pa.Table:
+        lean()
+        return f(table)
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        return f(left, right)
+
+    return two if len(inspect.signature(f).parameters) == 2 else one

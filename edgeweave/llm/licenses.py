@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 GRAM = 3
 WINNOW = 3
 BAND = 6
@@ -161,4 +162,4 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
             yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("body"))
-    return slim.mapInArrow(run, "doc_id long, license string, coverage double, n_matched int, span_begin int, span_end int")
+    return mapped(slim, run, "doc_id long, license string, coverage double, n_matched int, span_begin int, span_end int")

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 UNIT = 192
 CELL = 6 * 63
 #: Payload bytes that are worked on at once.
@@ -422,7 +423,7 @@ def encode_media(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.record_batch({"doc_id": b.column("doc_id")[s.start : s.stop], "media": pa.array(files, pa.binary())})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    return slim.mapInArrow(run, "doc_id long, media binary")
+    return mapped(slim, run, "doc_id long, media binary")
 
 
 def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
@@ -453,4 +454,4 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
                 yield pa.record_batch(out | {"payload": pa.array(body, pa.binary()), "n_bytes": pa.array(length, pa.int64()), "media_bytes": pa.array([len(x) for x in files[s]], pa.int64()), "media_sha256": pa.array(digest), "feature": pa.array(feature)})
 
     kinds = "doc_id long, height int, width int" + (", tensor binary" if tensors else "")
-    return media.select("doc_id", "media").mapInArrow(run, kinds + ", payload binary, n_bytes long, media_bytes long, media_sha256 string, feature string")
+    return mapped(media.select("doc_id", "media"), run, kinds + ", payload binary, n_bytes long, media_bytes long, media_sha256 string, feature string")

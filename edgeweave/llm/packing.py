@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import mapped, materialise, shuffle_partitions
 from .tokens import default_path, encoder
 
 CAPACITY = 2048
@@ -58,7 +58,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
             yield pa.record_batch(out | ({"ids": pa.array(cols[5], pa.binary())} if with_ids else {}))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("body"))
-    return slim.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return mapped(slim, run, PIECES + (", ids binary" if with_ids else ""))
 
 
 def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> list[tuple[int, int]]:
@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch(out | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
     kinds = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return mapped(ranked, run, f"{kinds}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise
 
 SHINGLE = 4
 DISTANCE = 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return mapped(slim, run, "doc_id long, fp long")
 
 
 def key_blocks(n: int) -> int:

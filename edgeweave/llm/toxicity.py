@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import mapped, materialise
 
 TRAIN_TOXIC = 2000
 TRAIN_ORDINARY = 4000
@@ -103,7 +103,7 @@ def distances(docs: DataFrame, toxic: bytes, ordinary: bytes, text: str = "text"
             yield pa.record_batch({"doc_id": b.column("doc_id"), "bin": pa.array(steps, pa.int32())})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"))
-    return slim.mapInArrow(run, "doc_id long, bin int")
+    return mapped(slim, run, "doc_id long, bin int")
 
 
 def monotone(seen: list[int], toxic: list[int]) -> list[float]:
