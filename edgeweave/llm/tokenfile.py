@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, materialise, shuffle_partitions
+from .common import LAST_ID, mapped, materialise, shuffle_partitions
 from .tokens import default_path, encoder
 
 #: Selector: (values a word, bits a value). 15 is the escape.
@@ -41,6 +41,8 @@ SELECTORS = ((240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 ESCAPE = 15
 BLOCK = 1024
 FILE_IDS = 2_000_000
+#: Values in memory stand in rows of a block and of what a word may hold beyond it.
+ROW = BLOCK + 240
 MAGIC = b"S8B1"
 _COUNTS = np.array([n for n, _ in SELECTORS] + [1], np.int64)
 
@@ -51,38 +53,46 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint64)
-    v = np.zeros((blocks, BLOCK + 240), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
-    flat[:n] = values
-    v[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    bits = _bit_length(v)
-    # the widest of the next k values, for each k a word can hold; the longest run that fits wins
-    choice = np.full((blocks, BLOCK), ESCAPE, np.uint8)
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        k, width = SELECTORS[s]
-        np.putmask(choice, _window_max(bits, k)[:, :BLOCK] <= width, s)
-    pos, live, steps = np.zeros(blocks, np.int64), np.arange(blocks), []
+    v = np.zeros((blocks, ROW), np.uint64)
+    full = n // BLOCK
+    v[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+    v[full:, : n - full * BLOCK] = values[full * BLOCK :]
+    choice = _choices(_bit_length(v))
+    begin = np.zeros(blocks * ROW, bool)
+    pos, live = np.zeros(blocks, np.int64), np.arange(blocks)
     while len(live):
-        at = live * BLOCK + pos[live]
-        s = choice.reshape(-1)[at]
-        steps.append((at, s))
-        pos[live] += _COUNTS[s]
+        at = live * ROW + pos[live]
+        begin[at] = True
+        pos[live] += _COUNTS[choice[at]]
         live = live[pos[live] < BLOCK]
-    at, s = (np.concatenate(x) for x in zip(*steps, strict=True))
-    order = np.argsort(at, kind="stable")
-    at, s = at[order], s[order]
-    # beyond the last value there is nothing to write
-    at, s = at[at < n], s[at < n]
+    begin.reshape(blocks, ROW)[-1, n - (blocks - 1) * BLOCK :] = False  # beyond the last value there is nothing to write
+    at = np.flatnonzero(begin)
+    s, flat = choice[at], v.reshape(-1)
     words = s.astype(np.uint64) << np.uint64(60)
-    row, col = at // BLOCK, at % BLOCK
     for sel, (k, width) in enumerate(SELECTORS):
         if width and len(w := np.flatnonzero(s == sel)):
-            got = v[row[w, None], col[w, None] + np.arange(k)]
-            words[w] |= np.bitwise_or.reduce(got << (np.arange(k, dtype=np.uint64) * np.uint64(width)), axis=1)
+            first = at[w]
+            word = flat[first]
+            for j in range(1, k):
+                word |= flat[first + j] << np.uint64(j * width)
+            words[w] |= word
     w = np.flatnonzero(s == ESCAPE)
     words[w] |= np.arange(len(w), dtype=np.uint64)
-    offsets = np.searchsorted(row, np.arange(blocks + 1)).astype(np.uint32)
-    return words, offsets, v[row[w], col[w]]
+    offsets = np.searchsorted(at, np.arange(blocks + 1) * ROW).astype(np.uint32)
+    return words, offsets, flat[at[w]]
+
+
+def _choices(bits: np.ndarray) -> np.ndarray:
+    """For each place the selector of the longest run that fits, from the widths ``bits`` of the values."""
+    choice, wide, size = np.full(bits.shape, ESCAPE, np.uint8), bits, 1
+    for s in range(len(SELECTORS) - 1, -1, -1):
+        k, width = SELECTORS[s]
+        while 2 * size <= k:  # wide: the widest of ``size`` values from each place on
+            wide = np.maximum(wide[:, :-size], wide[:, size:])
+            size *= 2
+        most = np.maximum(wide[:, :BLOCK], wide[:, k - size : k - size + BLOCK])
+        choice[:, :BLOCK][most <= width] = s
+    return choice.reshape(-1)
 
 
 def _bit_length(v: np.ndarray) -> np.ndarray:
@@ -100,32 +110,24 @@ def _bit_length(v: np.ndarray) -> np.ndarray:
     return out + (x > 0)
 
 
-def _window_max(bits: np.ndarray, k: int) -> np.ndarray:
-    """The maximum of each ``k`` values in a row, along the rows."""
-    out, have = bits, 1
-    while 2 * have <= k:
-        out = np.maximum(out[:, :-have], out[:, have:])
-        have *= 2
-    return out if have == k else np.maximum(out[:, : out.shape[1] - (k - have)], out[:, k - have :])
-
-
 def unpack_words(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    s = (words >> np.uint64(60)).astype(np.int64)
+    s = (words >> np.uint64(60)).astype(np.uint8)
     body = words & np.uint64((1 << 60) - 1)
-    begins = np.cumsum(_COUNTS[s]) - _COUNTS[s]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.astype(np.int64)))
-    at = row * BLOCK + begins - begins[offsets[:-1].astype(np.int64)][row] if len(words) else begins
-    end = np.minimum((row + 1) * BLOCK, n)
-    out = np.zeros(n, np.uint64)
+    counts = _COUNTS[s]
+    begins = np.cumsum(counts) - counts
+    first = offsets[:-1].astype(np.int64)
+    # in rows with room for what the last word of a block holds beyond it
+    blocks = len(first)
+    at = begins + np.repeat(np.arange(blocks) * ROW - begins[first], np.diff(offsets.astype(np.int64))) if len(words) else begins
+    out = np.zeros(blocks * ROW, np.uint64)
     for sel, (k, width) in enumerate(SELECTORS):
         if width and len(w := np.flatnonzero(s == sel)):
-            got = (body[w, None] >> (np.arange(k, dtype=np.uint64) * np.uint64(width))) & np.uint64((1 << width) - 1)
-            to = at[w, None] + np.arange(k)
-            fits = to < end[w, None]
-            out[to[fits]] = got[fits]
+            to, word, mask = at[w], body[w], np.uint64((1 << width) - 1)
+            for j in range(k):
+                out[to + j] = word >> np.uint64(j * width) & mask
     w = np.flatnonzero(s == ESCAPE)
     out[at[w]] = escapes[body[w].astype(np.int64)]
-    return out
+    return out.reshape(blocks, ROW)[:, :BLOCK].reshape(-1)[:n]
 
 
 def write_file(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -188,7 +190,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         if held:
             yield done()
 
-    dealt.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, file binary").write.parquet(folder)
+    mapped(dealt, run, "part int, seq int, n_ids long, n_docs long, file binary").write.parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -214,5 +216,5 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                 }
                 yield pa.record_batch(out | ({"ids": pa.array([raw[x:y] for x, y in cuts], pa.binary())} if with_ids else {}))
 
-    rows = files.select("part", "seq", "file").mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    rows = mapped(files.select("part", "seq", "file"), run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
