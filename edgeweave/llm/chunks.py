@@ -19,17 +19,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, shuffle_partitions
+from .common import LAST_ID, leanly, shuffle_partitions
 
 CHUNKS_PER_PARTITION = 2
-BUCKETS_PER_PARTITION = 1
 LISTS = "b int, g int, data binary"
 
 
-def chunked(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def chunked(docs: DataFrame, text: str = "text", carry: list[Column] | None = None) -> DataFrame:
     """``docs`` as doc_id, id (never null), body (binary) and chunk number g (and a struct of ``carry``), dealt out by g.
 
     Rows of one doc_id share a chunk.
@@ -51,6 +50,20 @@ def _below(value: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when(F.get(table, at + s - 1) < value, s).otherwise(F.lit(0)))
 
 
+def balanced_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that ``repartition(n, "b")`` deals to a partition each; at most ``n`` rows are collected."""
+    key = F.col("id").cast("int")
+    found = spark.range(0, 64 * n + 64).groupBy(F.pmod(F.hash(key), F.lit(n)).alias("p")).agg(F.min(key).alias("b")).collect()
+    spare = iter(range(64 * n + 64, 65 * n + 64))  # for a partition that none was found for: any other number is right too
+    keys = [r["b"] for r in found]
+    return keys + [next(spare) for _ in range(n - len(keys))]
+
+
+def by_bucket(lists: DataFrame, keys: list[int]):
+    """``lists`` grouped by b, each bucket its own task: lists of many chunks must not meet in a few."""
+    return lists.repartition(len(keys), "b").groupBy("b")
+
+
 def _order(chunk: pa.Table) -> list[int]:
     ids, bodies = chunk["id"].to_pylist(), chunk["body"].to_pylist()
     return sorted(range(len(bodies)), key=lambda i: (ids[i], bodies[i]))
@@ -92,11 +105,11 @@ def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]]).astype(np.int64)
 
 
-def lists_table(g: int, edges: np.ndarray, first: np.ndarray, *more: np.ndarray) -> pa.Table:
-    """A row a bucket that isn't empty; edges[b] to edges[b + 1] is bucket b."""
-    full = [b for b in range(len(edges) - 1) if edges[b + 1] > edges[b]]
-    data = [pack(first[(s := slice(edges[b], edges[b + 1]))], *[x[s] for x in more]) for b in full]
-    return pa.table({"b": pa.array(full, pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
+def lists_table(g: int, buckets: list[int], edges: np.ndarray, first: np.ndarray, *more: np.ndarray) -> pa.Table:
+    """A row a bucket that isn't empty; edges[i] to edges[i + 1] is bucket buckets[i]."""
+    full = [i for i in range(len(edges) - 1) if edges[i + 1] > edges[i]]
+    data = [pack(first[(s := slice(edges[i], edges[i + 1]))], *[x[s] for x in more]) for i in full]
+    return pa.table({"b": pa.array([buckets[i] for i in full], pa.int32()), "g": pa.array([g] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def joined_lists(bucket: pa.Table, *kinds) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
@@ -124,19 +137,20 @@ def bits_table(b: int, chunks: np.ndarray, starts: np.ndarray, *flags: np.ndarra
     return pa.table({"b": pa.array([b] * len(chunks), pa.int32()), "g": pa.array(chunks, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def read_bits(answers: pa.Table, edges: np.ndarray, count: int = 1) -> list[np.ndarray]:
+def read_bits(answers: pa.Table, buckets: list[int], edges: np.ndarray, count: int = 1) -> list[np.ndarray]:
     """The ``count`` flags of a chunk's keys, from its rows of ``bits_table``."""
-    n = int(edges[-1])
+    n, place = int(edges[-1]), {b: i for i, b in enumerate(buckets)}
     out = [np.zeros(n, bool) for _ in range(count)]
     for b, data in zip(answers["b"].to_pylist(), answers["data"].to_pylist(), strict=True):
-        size = int(edges[b + 1] - edges[b])
+        i = place[b]
+        size = int(edges[i + 1] - edges[i])
         raw, step = np.frombuffer(data, np.uint8), (size + 7) // 8
         for k in range(count):
-            out[k][edges[b] : edges[b + 1]] = np.unpackbits(raw[k * step : (k + 1) * step], count=size).astype(bool)
+            out[k][edges[i] : edges[i + 1]] = np.unpackbits(raw[k * step : (k + 1) * step], count=size).astype(bool)
     return out
 
 
-def earlier(lists: DataFrame, *kinds) -> DataFrame:
+def earlier(lists: DataFrame, buckets: list[int], *kinds) -> DataFrame:
     """Per chunk and bucket, one bit a key: whether a chunk before holds it too."""
 
     def answer(bucket: pa.Table) -> pa.Table:
@@ -146,7 +160,7 @@ def earlier(lists: DataFrame, *kinds) -> DataFrame:
         flags[order] = same
         return bits_table(bucket["b"][0].as_py(), chunks, starts, flags)
 
-    return lists.groupBy("b").applyInArrow(answer, LISTS)
+    return by_bucket(lists, buckets).applyInArrow(leanly(answer), LISTS)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -39,18 +39,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import chunks as C
-from .common import WORD, shuffle_partitions
+from .common import WORD, leanly, shuffle_partitions, small_batches
 from .windows import SPANS
 
 LENGTH = 100
 GRAM = 40
 BASE = 0x9E3779B97F4A7C15
-#: Texts are worked on in blocks of about so many bytes, so that arrays stay small.
-BLOCK = 1_000_000
-#: Documents whose suffixes the splitters are sampled from; they even out the ranges and change no result.
-SAMPLE_DOCS = 400
+#: Texts are worked on in blocks of at most so many bytes, so that arrays stay small.
+BLOCK = 1 << 19
+#: Bits of a place in a block.
+PLACE = 20
+#: Documents, and characters of each, whose suffixes the splitters are sampled from; they even out the ranges and change no result.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 4000
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary"
 KINDS = "kind int, b int, g int, data binary"
 
@@ -66,67 +69,105 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class Spans:
-    """The spans of a block of documents: anchors, contexts and the suffixes in between."""
+#: Powers of the base and of its inverse, up to the longest block.
+_POWERS: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [_powers(n, BASE), _powers(n, _constants()[1])]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Hashes:
+    """Prefix sums of a block's bytes, from which every substring's hash follows."""
 
-    def __init__(self, bodies: list[bytes], length: int = LENGTH, gram: int = GRAM):
-        self.length = length
+    def __init__(self, bodies: list[bytes]):
         self.raw = np.frombuffer(b"".join(bodies), np.uint8)
-        self.begins = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
-        n, self.lo = len(self.raw), np.zeros(0, np.int64)
+        powers, self.inverse = _powers_to(max(BLOCK + LENGTH, len(self.raw)) + 1)
+        self.sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum(_constants()[0][self.raw] * powers[: len(self.raw)], out=self.sums[1:])
+
+    def of(self, at: np.ndarray, size) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+    def every(self, size: int) -> np.ndarray:
+        """The hash at every place that ``size`` bytes follow."""
+        n = len(self.raw) - size + 1
+        return (self.sums[size:] - self.sums[:n]) * self.inverse[:n]
+
+
+class Spans:
+    """The spans of a block of documents: anchors, contexts and the suffixes in between (lo to hi).
+
+    Only what is kept for every span stays in memory; ``suffixes`` hashes the block again.
+    """
+
+    def __init__(self, bodies: list[bytes], base: int = 0, length: int = LENGTH, gram: int = GRAM):
+        self.bodies, self.base, self.length = bodies, base, length
+        ends = np.cumsum([len(b) for b in bodies]).astype(np.int64)
+        n = int(ends[-1]) if len(ends) else 0
+        self.lo = self.hi = np.zeros(0, np.int32)
+        self.gram = self.context = np.zeros(0, np.uint64)
         if n < length:
             return
-        table, inverse = _constants()
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.raw] * _powers(n, BASE), out=self.sums[1:])
-        self.inverse = _powers(n + 1, inverse)
-        grams = C.mix(self._hash(np.arange(n - gram + 1), gram))
-        # the smallest hash and then the leftmost place: both in one number
-        bits = np.uint64(max(1, int(n).bit_length()))
-        key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        hashes = Hashes(bodies)
+        grams = C.mix(hashes.every(gram))
+        # the smallest leading bits and then the leftmost place, in one number: PLACE is fixed, so that the anchor is a matter of the suffix alone
+        key = grams & ~np.uint64((1 << PLACE) - 1)
+        key |= np.arange(len(grams), dtype=np.uint64)
         width, least = length - gram + 1, 1
         while 2 * least <= width:
             key = np.minimum(key[:-least], key[least:])
             least *= 2
         if least < width:
             key = np.minimum(key[: len(key) - (width - least)], key[width - least :])
-        anchor = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        key &= np.uint64((1 << PLACE) - 1)
+        anchor = key.astype(np.int32)
         fits = np.ones(len(anchor), bool)
-        for e in self.begins[1:-1]:
+        for e in ends[:-1].tolist():
             fits[max(0, e - length + 1) : e] = False
-        at = np.flatnonzero(fits)
-        if not len(at):
-            return
-        a = anchor[at]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)])
-        first = np.flatnonzero(new)
-        self.lo = at[first]
-        self.hi = at[np.concatenate([first[1:], [len(at)]]) - 1]
-        mid = a[first]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | ~fits[:-1]
+        new &= fits
+        last = np.ones(len(anchor), bool)
+        last[:-1] = new[1:] | ~fits[1:]
+        last &= fits
+        lo, hi = np.flatnonzero(new), np.flatnonzero(last)
+        mid = anchor[lo].astype(np.int64)
         self.gram = grams[mid]
-        self.context = C.mix(self._hash(self.lo, self.hi + length - self.lo) ^ ((mid - self.lo).astype(np.uint64) << np.uint64(32)) ^ (self.hi - self.lo).astype(np.uint64))
-
-    def _hash(self, at: np.ndarray, size) -> np.ndarray:
-        return (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+        self.context = C.mix(hashes.of(lo, hi + length - lo) ^ ((mid - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
+        self.lo, self.hi = lo.astype(np.int32), hi.astype(np.int32)
 
     def suffixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, first eight bytes as a number, hash of all bytes) of the suffixes of the spans ``which``."""
-        size = self.hi[which] - self.lo[which] + 1
-        at = np.repeat(self.lo[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        lo, hi = self.lo[which].astype(np.int64), self.hi[which].astype(np.int64)
+        size = hi - lo + 1
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
         lead = np.zeros(len(at), np.uint64)
+        if not len(at):
+            return at, lead, lead.copy()
+        hashes = Hashes(self.bodies)
         for k in range(8):
-            lead = (lead << np.uint64(8)) | self.raw[at + k].astype(np.uint64)
-        return at, lead, C.mix(self._hash(at, self.length)) if len(at) else lead.copy()
+            lead = (lead << np.uint64(8)) | hashes.raw[at + k].astype(np.uint64)
+        return at, lead, C.mix(hashes.of(at, self.length))
 
 
-def _blocks(bodies: list[bytes]) -> list[list[bytes]]:
-    out, size = [[]], 0
+def _blocks(bodies: list[bytes]) -> list[tuple[int, list[bytes]]]:
+    """(first byte, texts) of blocks of about ``BLOCK`` bytes; a longer text is cut into pieces that overlap by a suffix."""
+    out, held, size, at = [], [], 0, 0
     for b in bodies:
-        if size + len(b) > BLOCK and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(b)
-        size += len(b)
+        if held and size + len(b) > BLOCK:
+            out.append((at - size, held))
+            held, size = [], 0
+        if len(b) > BLOCK:
+            out += [(at + i, [b[i : i + BLOCK + LENGTH - 1]]) for i in range(0, len(b) - LENGTH + 1, BLOCK)]
+        else:
+            held.append(b)
+            size += len(b)
+        at += len(b)
+    if held:
+        out.append((at - size, held))
     return out
 
 
@@ -134,11 +175,13 @@ class Chunk:
     """A chunk's spans, with the distinct (anchor, context) pairs in order."""
 
     def __init__(self, bodies: list[bytes]):
-        self.parts = [Spans(b) for b in _blocks(bodies)]
-        have = [p for p in self.parts if len(p.lo)]
-        none = np.zeros(0, np.uint64)
-        gram = np.concatenate([p.gram for p in have] or [none])
-        context = np.concatenate([p.context for p in have] or [none])
+        self.parts = [Spans(b, base) for base, b in _blocks(bodies)]
+        self.total = sum(map(len, bodies))
+        none = [np.zeros(0, np.uint64)]
+        gram = np.concatenate([p.gram for p in self.parts] or none)
+        context = np.concatenate([p.context for p in self.parts] or none)
+        for p in self.parts:
+            p.gram = p.context = none[0]
         order, same = C.repeats((gram, context))
         self.first = order[~same]
         self.again = np.zeros(len(order), bool)
@@ -149,27 +192,23 @@ class Chunk:
         """``flags`` of all spans, by part."""
         return np.split(flags, np.cumsum([len(p.lo) for p in self.parts])[:-1])
 
-    def undecided(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes of the spans flagged by ``shared``: (places in the chunk's bytes, leads, hashes), and the chunk's byte count."""
-        out, base = [], 0
+    def undecided(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of the spans flagged by ``shared``: (places in the chunk's bytes, leads, hashes)."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for p, s in zip(self.parts, self.split(shared), strict=True):
             if s.any():
                 at, lead, rest = p.suffixes(np.flatnonzero(s))
-                out.append((at + base, lead, rest))
-            base += int(p.begins[-1])
-        none = np.zeros(0, np.uint64)
-        at, lead, rest = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none.astype(np.int64), none, none)
-        return at, lead, rest, base
+                out.append((at + p.base, lead, rest))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def spans_of(self, flags: np.ndarray, total: int) -> np.ndarray:
+    def spans_of(self, flags: np.ndarray) -> np.ndarray:
         """Which of the chunk's bytes lie in the suffixes of flagged spans."""
-        change, base = np.zeros(total + 1, np.int32), 0
+        change = np.zeros(self.total + 1, np.int32)
         for p, f in zip(self.parts, self.split(flags), strict=True):
             if f.any():
-                np.add.at(change, p.lo[f] + base, 1)
-                np.add.at(change, p.hi[f] + p.length + base, -1)
-            base += int(p.begins[-1])
-        return np.cumsum(change[:-1]) > 0
+                np.add.at(change, p.lo[f] + np.int64(p.base), 1)
+                np.add.at(change, p.hi[f] + np.int64(p.length + p.base), -1)
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def multikey_order(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -194,8 +233,11 @@ def _sorted_distinct(lead: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np
 
 def _splitters(docs: DataFrame, text: str, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts (first word, hash) of the order of suffixes into about equal ranges, from a bounded sample of documents."""
-    got = docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4000).cast("binary").alias("body")).where(F.rand(7) < 0.2).limit(SAMPLE_DOCS).collect()
-    parts = [Spans([bytes(r["body"])]) for r in got]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    place = F.pmod(F.xxhash64(whole), F.greatest(F.lit(1), F.length(whole) - SAMPLE_CHARS)) + 1
+    picked = docs.select(F.xxhash64("doc_id").alias("h"), F.substring(whole, place.cast("int"), F.lit(SAMPLE_CHARS)).cast("binary").alias("body"))
+    got = picked.orderBy("h").limit(SAMPLE_DOCS).collect()
+    parts = [Spans(b) for _, b in _blocks([bytes(r["body"]) for r in got])]
     pairs = [p.suffixes(np.arange(len(p.lo)))[1:] for p in parts if len(p.lo)]
     if not pairs:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -224,19 +266,20 @@ def whole_characters(body: bytes, mask: np.ndarray) -> np.ndarray:
     return np.bincount(char, mask)[char] > 0
 
 
-def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | None = None, whole: bool = False) -> DataFrame:
+def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[Column] | None = None, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed byte intervals) and kept (the other bytes).
 
     With ``carry``, a struct of those columns of ``docs`` comes along. With
     ``whole``, characters that a cut splits are missing from kept too.
     """
-    buckets = C.BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
-    cuts = _splitters(docs, text, buckets)
-    base = C.chunked(docs, text, carry)
+    small_batches(docs.sparkSession)
+    buckets = C.balanced_keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
+    cuts = _splitters(docs, text, len(buckets))
+    base, along = C.chunked(docs, text, carry), bool(carry)
 
     def send_spans(chunk: pa.Table) -> pa.Table:
         gram, context = Chunk(C.in_order(chunk)[1]).pairs
-        return C.lists_table(chunk["g"][0].as_py(), C.spread(gram, buckets), gram, context)
+        return C.lists_table(chunk["g"][0].as_py(), buckets, C.spread(gram, len(buckets)), gram, context)
 
     def judge_spans(bucket: pa.Table) -> pa.Table:
         chunks, starts, (gram, context) = C.joined_lists(bucket, np.uint64)
@@ -254,7 +297,7 @@ def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | No
 
     def decided(work: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Of all spans: whether they are repeats, whether their suffixes must be sorted."""
-        held, shared = C.read_bits(answers, C.spread(work.pairs[0], buckets), 2)
+        held, shared = C.read_bits(answers, buckets, C.spread(work.pairs[0], len(buckets)), 2)
         repeat, sort = work.again.copy(), np.zeros(len(work.again), bool)
         repeat[work.first[held]] = True
         sort[work.first[shared]] = True
@@ -263,12 +306,12 @@ def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | No
     def send_suffixes(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         g = chunk["g"][0].as_py()
         work = Chunk(C.in_order(chunk)[1])
-        _, lead, rest, _ = work.undecided(decided(work, answers)[1])
+        _, lead, rest = work.undecided(decided(work, answers)[1])
         first, _ = _sorted_distinct(lead, rest)
         lead, rest = lead[first], rest[first]
-        out = C.lists_table(g, _ranges(lead, rest, cuts), lead, rest)
+        out = C.lists_table(g, buckets, _ranges(lead, rest, cuts), lead, rest)
         # the answers travel on, spread over the ranges, so that the plan needs them once
-        spare = pa.table({"b": pa.array([(g + i) % buckets for i in range(len(answers))], pa.int32()), "g": answers["g"], "data": pa.array([np.int32(b).tobytes() + d for b, d in zip(answers["b"].to_pylist(), answers["data"].to_pylist(), strict=True)], pa.binary())})
+        spare = pa.table({"b": pa.array([buckets[(g + i) % len(buckets)] for i in range(len(answers))], pa.int32()), "g": answers["g"], "data": pa.array([np.int32(b).tobytes() + d for b, d in zip(answers["b"].to_pylist(), answers["data"].to_pylist(), strict=True)], pa.binary())})
         kinds = pa.array([1] * len(out) + [0] * len(spare), pa.int32())
         return pa.concat_tables([out, spare]).add_column(0, "kind", kinds)
 
@@ -293,10 +336,13 @@ def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | No
         work = Chunk(bodies)
         kind = answers["kind"].to_numpy()
         repeat, sort = decided(work, answers.filter(pa.array(kind == 0)))
-        at, lead, rest, total = work.undecided(sort)
+        at, lead, rest = work.undecided(sort)
         first, again = _sorted_distinct(lead, rest)
-        (held,) = C.read_bits(answers.filter(pa.array(kind == 1)), _ranges(lead[first], rest[first], cuts))
-        gone = work.spans_of(repeat, total) | (C.cover(np.sort(at[np.concatenate([again, first[held]])]), LENGTH, total) if total else np.zeros(0, bool))
+        (held,) = C.read_bits(answers.filter(pa.array(kind == 1)), buckets, _ranges(lead[first], rest[first], cuts))
+        gone = work.spans_of(repeat)
+        if work.total:
+            gone |= C.cover(np.sort(at[np.concatenate([again, first[held]])]), LENGTH, work.total)
+        del work, at, lead, rest
         ends = np.cumsum([len(b) for b in bodies]).tolist()
         removed, spans, kept = [], [], []
         for b, e in zip(bodies, ends, strict=True):
@@ -308,13 +354,17 @@ def repeated_suffixes(docs: DataFrame, text: str = "text", carry: list[str] | No
             if whole and k:
                 cut = C.runs(whole_characters(b, mask)).tolist()
             kept.append(b"".join(b[x:y] for x, y in zip([0] + [y for _, y in cut], [x for x, _ in cut] + [len(b)], strict=True)) if k else b)
-        rest = {"carry": C.carried(chunk)} if carry else {}
+        rest = {"carry": C.carried(chunk)} if along else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(b) for b in bodies], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())} | rest)
 
-    pairs = base.groupBy("g").applyInArrow(send_spans, C.LISTS).groupBy("b").applyInArrow(judge_spans, C.LISTS)
-    lists = base.groupBy("g").cogroup(pairs.groupBy("g")).applyInArrow(send_suffixes, KINDS)
-    answers = lists.groupBy("b").applyInArrow(judge_suffixes, KINDS)
-    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, OUT + (f", carry {base.schema['carry'].dataType.simpleString()}" if carry else ""))
+    out = StructType.fromDDL(OUT)
+    if carry:
+        out = out.add("carry", base.schema["carry"].dataType)
+    lists = base.groupBy("g").applyInArrow(leanly(send_spans), C.LISTS)
+    pairs = C.by_bucket(lists, buckets).applyInArrow(leanly(judge_spans), C.LISTS)
+    lists = base.groupBy("g").cogroup(pairs.groupBy("g")).applyInArrow(leanly(send_suffixes), KINDS)
+    answers = C.by_bucket(lists, buckets).applyInArrow(leanly(judge_suffixes), KINDS)
+    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(leanly(finish), out)
 
 
 def suffix_deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -324,9 +374,11 @@ def suffix_deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     no word is left go; those that had none to begin with stay.
     """
     others = [c for c in docs.columns if c != text]
-    out = repeated_suffixes(docs, text, [text, *others], whole=True).where((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(WORD))
-    whole = F.when(F.col("n_removed") == 0, F.col(f"carry.{text}")).otherwise(_characters("kept"))
-    out = out.select(whole.alias(text), *[F.col(f"carry.{c}").alias(c) for c in others])
+    # the text itself comes back as kept
+    carry = [F.when(F.col(text).isNull(), F.lit(True)).alias("gone"), F.struct(*others).alias("row")]
+    out = repeated_suffixes(docs, text, carry, whole=True).where((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(WORD))
+    whole = F.when(F.col("carry.gone"), F.lit(None)).when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_characters("kept"))
+    out = out.select(whole.alias(text), *[F.col("carry.row")[c].alias(c) for c in others])
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

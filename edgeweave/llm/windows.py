@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .common import shuffle_partitions
+from .common import leanly, shuffle_partitions, small_batches
 
 WINDOW = 20
 BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
@@ -77,7 +77,8 @@ def _distinct(one: np.ndarray, two: np.ndarray):
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word intervals) and kept (the other words joined by a space)."""
-    buckets = C.BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    buckets = C.balanced_keys(docs.sparkSession, shuffle_partitions(docs.sparkSession))
     base = C.chunked(docs)
 
     def send(chunk: pa.Table) -> pa.Table:
@@ -85,13 +86,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _, _, _, one, two = _windows(bodies, window)
         first, _ = _distinct(one, two)
         keys = one[first]
-        return C.lists_table(chunk["g"][0].as_py(), C.spread(keys, buckets), keys, two[first])
+        return C.lists_table(chunk["g"][0].as_py(), buckets, C.spread(keys, len(buckets)), keys, two[first])
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         ids, bodies = C.in_order(chunk)
         words, begins, at, one, two = _windows(bodies, window)
         first, again = _distinct(one, two)
-        (held,) = C.read_bits(answers, C.spread(one[first], buckets))
+        (held,) = C.read_bits(answers, buckets, C.spread(one[first], len(buckets)))
         n = int(begins[-1])
         gone = C.cover(at[np.concatenate([again, first[held]])], window, n)
         removed, spans, kept = [], [], []
@@ -103,6 +104,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept.append(b" ".join(compress(w, (~mask).tolist()) if k else w))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(begins), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, SPANS), "kept": pa.array(kept, pa.binary())})
 
-    lists = base.groupBy("g").applyInArrow(send, C.LISTS)
-    answers = C.earlier(lists, np.uint16)
-    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, OUT)
+    lists = base.groupBy("g").applyInArrow(leanly(send), C.LISTS)
+    answers = C.earlier(lists, buckets, np.uint16)
+    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(leanly(finish), OUT)

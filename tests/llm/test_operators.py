@@ -536,6 +536,31 @@ def test_suffixes(docs, rows, empty):
     assert suffixes.suffix_deduplicated(empty).count() == 0
 
 
+def test_suffixes_of_long_texts(spark):
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz   ", np.uint8)
+    say = lambda n: letters[r.integers(0, len(letters), n)].tobytes().decode()
+    passage = say(700)
+    edge = suffixes.BLOCK - 300  # a passage across the border of two blocks
+    long = say(edge) + passage + say(90_000) + passage[:250]
+    rows = [(1, say(50) + passage[100:400]), (2, long), (3, passage[500:] + say(80)), (4, say(suffixes.BLOCK) + long[1000:1500])]
+    out = suffixes.repeated_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in out) == brute_suffixes(rows)
+
+
+def test_blocks_of_texts():
+    bodies = [b"a" * 10, b"", b"b" * (2 * suffixes.BLOCK + 7), b"c" * 300, b"d" * suffixes.BLOCK, b"e"]
+    whole, starts = b"".join(bodies), []
+    for base, held in suffixes._blocks(bodies):
+        assert whole[base:].startswith(b"".join(held))
+        at = base
+        for b in held:
+            starts += range(at, at + len(b) - suffixes.LENGTH + 1)
+            at += len(b)
+    ends = np.cumsum([len(b) for b in bodies]).tolist()
+    assert starts == [i for e, b in zip(ends, bodies, strict=True) for i in range(e - len(b), e - suffixes.LENGTH + 1)]
+
+
 def test_multikey_order():
     r = np.random.default_rng(1)
     lead, rest = r.integers(0, 20, 500).astype(np.uint64), r.integers(0, 9, 500).astype(np.uint64)
