@@ -38,27 +38,24 @@ def _ratio_sql(rule: str) -> str:
 
 
 def verdict_sql() -> str:
-    """CTEs after judged: strata with their cutoffs, and verdict (judged with kept)."""
-    ratios = {r: f"n{i}" for i, r in enumerate(Q.RULES)}
-    one = ", ".join(f"max({_ratio_sql(r)}) AS {n}" for r, n in ratios.items())
-    counts = ", ".join(f"count(*) FILTER ({ratios[r]} > {c}) AS k_{r}_{i}" for r in Q.RULES for i, c in enumerate(Q.RULES[r][1]))
+    """CTEs after judged: strata with their last step, and verdict (judged with kept)."""
+    steps = []
+    for rule, (_, grid) in Q.RULES.items():
+        numbers = [k for k, (r, _) in enumerate(Q.STEPS) if r == rule]
+        steps.append(f"{numbers}[len(list_filter({grid}::DOUBLE[], lambda c: {_ratio_sql(rule)} <= c)) + 1]")
+    lost = ", ".join(f"count(*) FILTER (first <= {k}) AS k_{k}" for k in range(len(Q.STEPS)))
+    last = ", ".join(f"CASE WHEN k_{k} <= k_max THEN {k} END" for k in range(len(Q.STEPS)))
     a = Q.MAX_FALSE_REJECTION
-    chosen = []
-    for r, (_, grid) in Q.RULES.items():
-        cases = "NULL"
-        for i, c in enumerate(grid):
-            cases = f"CASE WHEN {' AND '.join(f'k_{r}_{j} <= k_max' for j in range(i + 1))} THEN {c} ELSE {cases} END"
-        chosen.append(f"{cases} AS c_{r}")
-    over = " OR ".join(f"coalesce({_ratio_sql(r)} > c_{r}, FALSE)" for r in Q.RULES)
     return f"""
+  stepped AS (SELECT *, least({', '.join(steps)}) AS first FROM judged),
   good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
-  one AS (SELECT lang AS stratum, text, {one} FROM judged WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang, text),
-  counted AS (SELECT stratum, count(*) AS n, {counts} FROM one GROUP BY stratum),
+  one AS (SELECT lang AS stratum, text, min(first) AS first FROM stepped WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang, text),
+  counted AS (SELECT stratum, count(*) AS n, {lost} FROM one GROUP BY stratum),
   tail AS (SELECT stratum, k, sum(exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln({a}::DOUBLE) + (n - k) * ln(1 - {a}::DOUBLE))) OVER (PARTITION BY stratum ORDER BY k) AS p
     FROM (SELECT stratum, n, unnest(range(0, greatest(1, floor(n * {a})::BIGINT) + 1)) AS k FROM counted)),
-  most AS (SELECT stratum, coalesce(max(k) FILTER (p <= {Q.ERROR} / ({len(Q.RULES)} * (SELECT count(*) FROM counted))), -1) AS k_max FROM tail GROUP BY stratum),
-  chosen AS (SELECT c.stratum, {', '.join(chosen)} FROM counted c JOIN most m ON c.stratum IS NOT DISTINCT FROM m.stratum),
-  verdict AS (SELECT j.*, NOT base_failed AND NOT ({over}) AS kept FROM judged j LEFT JOIN chosen c ON j.lang IS NOT DISTINCT FROM c.stratum)"""
+  most AS (SELECT stratum, coalesce(max(k) FILTER (p <= {Q.ERROR} / (SELECT count(*) FROM counted)), -1) AS k_max FROM tail GROUP BY stratum),
+  chosen AS (SELECT c.stratum, greatest({last}) AS step FROM counted c JOIN most m ON c.stratum IS NOT DISTINCT FROM m.stratum),
+  verdict AS (SELECT j.*, NOT base_failed AND NOT coalesce(first <= step, FALSE) AS kept FROM stepped j LEFT JOIN chosen c ON j.lang IS NOT DISTINCT FROM c.stratum)"""
 
 
 OP5_SQL = f"""WITH {features_sql('documents')}, {verdict_sql()}

@@ -3,12 +3,13 @@
 Every document gets counts (words, symbols, repeated lines, repeated 5-word
 windows). A fixed base test rejects hopeless texts. Beyond it, each rule
 compares one ratio with a cutoff that is chosen per stratum from labelled
-documents: the cutoffs of a rule are tried from the mildest on, and the
-strictest one is taken up to which every cutoff passes an exact binomial test
-of "more than ``max_false_rejection`` of the good documents are rejected".
-Testing nested cutoffs in a fixed sequence needs no correction within a rule;
-over rules and strata the level is divided (Bonferroni). With probability
-``1 - error`` no chosen cutoff rejects more good documents than allowed.
+documents: ``STEPS`` tightens the rules in turn, from no cutoff to the strictest
+ones, and each step rejects what the step before rejects and more. A stratum
+goes as far as every step passes an exact binomial test of "more than
+``max_false_rejection`` of the good documents are rejected", by whichever rule.
+Testing nested steps in a fixed sequence needs no correction within a stratum;
+over strata the level is divided (Bonferroni). With probability ``1 - error``
+no stratum loses more of its good documents than allowed.
 
 DataFrame functions only. Nulls: a null text has no words; a null stratum is a
 stratum of its own; labels that are null or contradict each other are left out.
@@ -32,6 +33,8 @@ RULES = {
     "dup_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
     "word_length": ("word_chars / n_words", [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0]),
 }
+#: The rules tightened in turn: (rule, number of its cutoff).
+STEPS = [(r, i) for i in range(max(len(c) for _, c in RULES.values())) for r in RULES if i < len(RULES[r][1])]
 MAX_FALSE_REJECTION = 0.01
 ERROR = 0.05
 SYMBOLS = "#*$%&|<>"
@@ -105,31 +108,37 @@ def _most_rejections(n: Column, share: float, level: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(x * share).cast("long"))), start, step, lambda acc: acc["k"])
 
 
+def first_step() -> Column:
+    """The number of the first step that rejects a document by its features; null if none does."""
+    out = []
+    for rule, (_, grid) in RULES.items():
+        steps = F.array(*[F.lit(k) for k, (r, _) in enumerate(STEPS) if r == rule])
+        kept = sum((_ratio(rule) <= c).cast("int") for c in grid)  # cutoffs fall, so these are the first ones
+        out.append(F.get(steps, kept))
+    return F.least(*out)
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """Per stratum the chosen cutoff of each rule (null: none): stratum, n_good, c_<rule>.
+    """Per stratum the last step taken (null: none) and the cutoff of each rule there: stratum, n_good, step, c_<rule>.
 
     ``features`` needs doc_id, the stratum, a text hash ``__key`` and the feature columns.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__lo"), F.max("quality").alias("__hi")).where("__lo = 1 and __hi = 1").select("doc_id")
     # labelled rows are the holdout: the rules are fixed beforehand and nothing was fitted to them
     good = features.where("not base_failed").join(marks, "doc_id", "left_semi")
-    ratios = [f"n{i}" for i in range(len(RULES))]
-    one = good.select(F.col(stratum).alias("stratum"), "__key", *[_ratio(r).alias(n) for r, n in zip(RULES, ratios, strict=True)]).groupBy("stratum", "__key").agg(*[F.max(n).alias(n) for n in ratios])
-    counts = [F.sum((F.col(n) > c).cast("long")).alias(f"k_{r}_{i}") for r, n in zip(RULES, ratios, strict=True) for i, c in enumerate(RULES[r][1])]
-    table = one.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts)
-    tests = F.count("*").over(_everything()) * len(RULES)
+    one = good.select(F.col(stratum).alias("stratum"), "__key", first_step().alias("first")).groupBy("stratum", "__key").agg(F.min("first").alias("first"))
+    lost = [F.sum((F.col("first") <= k).cast("long")).alias(f"k_{k}") for k in range(len(STEPS))]
+    table = one.groupBy("stratum").agg(F.count("*").alias("n_good"), *lost)
+    tests = F.count("*").over(_everything())
     table = table.withColumn("k_max", _most_rejections(F.col("n_good"), max_false_rejection, F.lit(error) / tests.cast("double")))
+    # the losses grow from step to step, so the last step that passes has only such before it
+    table = table.withColumn("step", F.greatest(*[F.when(F.coalesce(F.col(f"k_{k}"), F.lit(0)) <= F.col("k_max"), F.lit(k)) for k in range(len(STEPS))]))
 
-    def chosen(rule: str) -> Column:
-        grid = RULES[rule][1]
-        passed = F.lit(True)
-        out = F.lit(None).cast("double")
-        for i, c in enumerate(grid):
-            passed = passed & (F.col(f"k_{rule}_{i}") <= F.col("k_max"))
-            out = F.when(passed, F.lit(c)).otherwise(out)
-        return out
+    def at_step(rule: str) -> Column:
+        reached = [max((i for r, i in STEPS[: k + 1] if r == rule), default=-1) for k in range(len(STEPS))]
+        return F.get(F.array(*[F.lit(RULES[rule][1][i] if i >= 0 else None).cast("double") for i in reached]), F.col("step"))
 
-    return table.select("stratum", "n_good", *[chosen(r).alias(f"c_{r}") for r in RULES])
+    return table.select("stratum", "n_good", "step", *[at_step(r).alias(f"c_{r}") for r in RULES])
 
 
 def _everything():
@@ -140,11 +149,9 @@ def _everything():
 
 def judge(features: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
     """``features`` with ``kept``. ``chosen`` is a table of one row per stratum, broadcast by Catalyst only if its size allows."""
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(_ratio(r) > F.col(f"c_{r}"), F.lit(False))
-    joined = features.join(chosen, features[stratum].eqNullSafe(chosen["stratum"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("stratum", "n_good", *[f"c_{r}" for r in RULES])
+    last = chosen.select(F.col("stratum").alias("__stratum"), F.col("step").alias("__step"))
+    joined = features.join(last, features[stratum].eqNullSafe(last["__stratum"]), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(first_step() <= F.col("__step"), F.lit(False))).drop("__stratum", "__step")
 
 
 def text_key(text: str = "text") -> Column:
@@ -160,10 +167,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
-    slim = with_features(docs.select("doc_id", "text", stratum).withColumn("__key", text_key())).drop("text")
-    chosen = materialise(cutoffs(materialise(slim, "quality"), labels, stratum).coalesce(1), "cutoffs")
-    # the row number keeps the optimizer from copying the features' expressions into the filter
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "text", stratum)
-    feats = with_features(whole).withColumn("__row", F.monotonically_increasing_id())
-    return judge(feats, chosen, stratum).where("kept and __row >= 0").select("__doc.*")
+    """The documents that pass, with the columns of ``docs``. The features are computed once and stored beside the rows."""
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", stratum).withColumn("__key", text_key())
+    feats = materialise(with_features(whole).drop("text"), "quality")
+    chosen = materialise(cutoffs(feats.drop("__doc"), labels, stratum).coalesce(1), "cutoffs")
+    return judge(feats, chosen, stratum).where("kept").select("__doc.*")
