@@ -8,9 +8,11 @@ and again; the mix takes the first ``floor(target)`` words of that stream.
 
 Curriculum: source s has the weight schedule w_s(t) = 1 + k_s (2t - 1) over
 training time t in [0, 1]. Its integral t + k_s (t^2 - t) times the target is
-the source's cumulative demand for words; the position of a document is the
-time at which the demand reaches the words before it, the inverse in closed
-form. The rows are range-sorted by position.
+the source's cumulative demand for words; the position of a use of a document is
+the time at which the demand reaches the words before it (those of all earlier
+passes included), the inverse in closed form. So a source that is used twice
+lasts the whole training. The rows are range-sorted by position; a document that
+the mix doesn't take has none.
 
 A running sum over a source that holds a third of all rows would be one task.
 Hence the stream is cut by leading MD5 digits into blocks: block totals are
@@ -73,15 +75,12 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return F.when(share <= 0, F.lit(0.0)).otherwise(2.0 * share / ((1.0 - slope) + F.sqrt((1.0 - slope) * (1.0 - slope) + 4.0 * slope * share)))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` with size, source_size, target, taken, passes, rest and position, range-sorted by position.
-
-    ``passes`` whole uses and then ``rest`` words of one more are taken.
-    """
+def _placed(docs: DataFrame, columns: list[str], text: str = "text", **how) -> DataFrame:
+    """__doc (``columns`` of the row), doc_id, size, source_size, target, taken, passes, rest, __at (words of its source before it) and slope."""
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.withColumns({"size": size, "__order": order})
+    sized = docs.select(F.struct(*columns).alias("__doc"), "doc_id", F.col("source").alias("__from"), size.alias("size"), order.alias("__order"))
     slim = docs.select("source", size.alias("size"), F.conv(F.substring(order, 1, 4), 16, 10).cast("int").alias("__hex"))
     blocks = min(65536, max(64, 1 << (2 * shuffle_partitions(spark)).bit_length()))
     block = F.floor(F.col("__hex") / (65536 // blocks)).cast("int")
@@ -91,25 +90,45 @@ def mix_sources(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     run = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("source", "__block", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("__before"))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("__source"), F.col("__block").alias("__b"), "__before", "source_size", "target", "slope")
-    inside = Window.partitionBy("source", "__block").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__from", "__block").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("__block", F.floor(F.conv(F.substring("__order", 1, 4), 16, 10).cast("int") / (65536 // blocks)).cast("int"))
     rows = rows.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(materialise(starts, "starts"), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__b")))
+    rows = rows.join(materialise(starts, "starts"), F.col("__from").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__b")))
     rows = rows.withColumn("__at", F.col("__before") + F.col("__in"))
     whole = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumns({"passes": passes, "__left": whole - passes * F.col("source_size")})
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.col("__at"))).cast("long")
-    position = F.when(F.col("target") > 0, demand_inverse(F.col("__at").cast("double") / F.col("target"), F.col("slope")))
-    rows = rows.withColumns({"rest": rest, "position": F.least(F.lit(1.0), position)})
-    rows = rows.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest"))
-    drop = ["__order", "__block", "__in", "__source", "__b", "__before", "__at", "__left", "slope"]
-    return rows.drop(*drop).orderBy("position", "doc_id")
+    rows = rows.withColumn("rest", rest).withColumn("taken", F.col("passes") * F.col("size") + F.col("rest"))
+    return rows.select("__doc", "doc_id", "size", "source_size", "target", "taken", "passes", "rest", "__at", "slope")
+
+
+def _position(use: Column) -> Column:
+    """The time of the ``use``-th use (from 0) of a row of ``_placed``."""
+    before = (use * F.col("source_size") + F.col("__at")).cast("double")
+    return F.least(F.lit(1.0), demand_inverse(before / F.col("target"), F.col("slope")))
+
 
+def mix_sources(docs: DataFrame, text: str = "text", columns: list[str] | None = None, **how) -> DataFrame:
+    """``columns`` of ``docs`` (all) with size, source_size, target, taken, passes, rest and position, range-sorted by position.
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is used, in training order; a use of at least half its words counts."""
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "source", "text")
+    ``passes`` whole uses and then ``rest`` words of one more are taken;
+    ``position`` is that of the first use, null if nothing is taken. Columns of
+    ``docs`` that have one of these names are replaced.
+    """
+    added = ["size", "source_size", "target", "taken", "passes", "rest", "position"]
+    columns = [c for c in columns or docs.columns if c not in added]
+    rows = _placed(docs, columns, text, **how).withColumn("position", F.when(F.col("taken") > 0, _position(F.lit(0)))).orderBy("position", "doc_id")
+    return rows.select(*[F.col("__doc")[c].alias(c) for c in columns], *added)
+
+
+def mixed_documents(docs: DataFrame, position: str | None = None, **how) -> DataFrame:
+    """The documents of the mix, each as often as it is used, in the order of the uses' positions; a use of at least half its words counts.
+
+    With the columns of ``docs`` and, if it is named, a column ``position``.
+    """
     uses = F.col("passes") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), F.lit(1)).otherwise(F.lit(0))
-    rows = mix_sources(whole, **how).withColumn("__uses", uses.cast("int")).where("__uses > 0")
-    return rows.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select("__doc.*")
+    rows = _placed(docs, docs.columns, **how).withColumn("__uses", uses.cast("int")).where("__uses > 0 and size > 0")
+    rows = rows.withColumn("__use", F.explode(F.sequence(F.lit(0), F.col("__uses") - 1))).withColumn("__position", _position(F.col("__use")))
+    rows = rows.orderBy("__position", "doc_id", "__use")
+    return rows.select("__doc.*", *([F.col("__position").alias(position)] if position else []))

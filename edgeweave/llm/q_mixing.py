@@ -9,7 +9,7 @@ from .common import WORD, table
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = M.mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
@@ -30,7 +30,7 @@ def mixed_sql(source: str) -> str:
   passed AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes FROM placed),
   rested AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - passes * source_size - seen)) AS rest, seen::DOUBLE / nullif(target, 0) AS u FROM passed),
   mixed AS (SELECT *, passes * size + rest AS taken,
-      CASE WHEN target > 0 THEN least(1.0::DOUBLE, CASE WHEN u <= 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * u / ((1.0::DOUBLE - slope) + sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * u)) END) END AS position FROM rested)"""
+      CASE WHEN passes * size + rest > 0 THEN least(1.0::DOUBLE, CASE WHEN u <= 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * u / ((1.0::DOUBLE - slope) + sqrt((1.0::DOUBLE - slope) * (1.0::DOUBLE - slope) + 4.0::DOUBLE * slope * u)) END) END AS position FROM rested)"""
 
 
 OP6_SQL = f"WITH {mixed_sql('documents')} SELECT doc_id, size, source_size, target, taken, position FROM mixed"

@@ -352,9 +352,68 @@ def test_risk_bound(spark):
     assert sum(not x.kept for x in out if x.doc_id % 8) <= 0.01 * 2625
 
 
+def test_steps_bound_the_union(spark, tmp_path):
+    """Two strata with enough labelled documents, two rules that each would use up the allowance; held against the SQL."""
+    import duckdb
+
+    from edgeweave.llm import q_quality
+
+    r = random.Random(4)
+    say = lambda: [" ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(6)) for _ in range(6)]
+    made, marks = [], []
+    for i in range(3600):
+        lines, lang = say(), "en" if i % 2 else "de"
+        good = i % 9 != 0
+        if not good:
+            lines = [x + "##" * 9 for x in lines] if i % 2 else [*lines, *lines[:3]]
+        elif i % 151 == 0:
+            lines[0] += " ##########"  # some good documents have symbols
+        elif i % 157 == 0:
+            lines.append(lines[0])  # and some a repeated line
+        made.append((i, "\n".join(lines), lang, "s", 0))
+        marks.append((i, int(good), 0))
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = q_quality.op5_quality_rules(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    names = [x.name for x in q_quality.op5_quality_rules(spark, str(tmp_path)).schema]
+    assert Counter(map(tuple, out)) == Counter(con.execute(f"SELECT {', '.join(names)} FROM ({q_quality.OP5_SQL})").fetchall())
+    kept = {x.doc_id: x.kept for x in out}
+    rejected = {lang: sum(not kept[i] for i, _, at, _, _ in made if at == lang and marks[i][1]) for lang in ("en", "de")}
+    assert all(n <= 0.01 * 1600 for n in rejected.values())
+    assert any(not kept[i] and not x.base_failed for i, x in ((x.doc_id, x) for x in out))
+
+
 # --- mixing
 
 
+def test_schedule(spark):
+    """At each tenth of training every source has given the words of its schedule's integral."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 30)), f"s{i % 4 % 3}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    about = {x.source: x for x in mixing.mix_sources(docs).collect()}
+    used = [(x.source, len(x.text.split()), x.at) for x in mixing.mixed_documents(docs, position="at").collect()]
+    assert [u[2] for u in used] == sorted(u[2] for u in used)
+    for k, s in enumerate(sorted(about)):
+        slope, target = mixing.SLOPES[k], about[s].target
+        for tenth in range(1, 11):
+            t = tenth / 10
+            given = sum(n for at, n, p in used if at == s and p < t)
+            assert abs(given - target * (t + slope * (t * t - t))) <= 60
+
+
+def test_mixing_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5, 6, 7.0)], "doc_id long, text string, source string, target int, slope int, size double")
+    (row,) = mixing.mix_sources(docs).collect()
+    assert (row["size"], row.target, row.slope) == (2, 3.0, 6)
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
 def test_mixing(docs, rows, empty):
     out = mixing.mix_sources(docs).collect()
     size = lambda t: len(WORD.findall(t or ""))
