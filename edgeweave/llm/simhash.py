@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialise
+from .common import mapped, materialise, scratch
 
 SHINGLE = 4
 DISTANCE = 4
@@ -150,13 +150,14 @@ def linked(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
-    prints = materialise(fingerprints(docs, text, shingle), "fps")
-    nodes = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "nodes")
-    roots = linked(nodes.select("fp", "n"), distance).withColumnRenamed("fp", "r_fp")
-    member = nodes.join(roots, F.col("fp") == F.col("r_fp")).select("fp", "least", "root")
-    # stored, so that both sides are dealt out for the join alone and a large component can be split
-    named = materialise(member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "n_root"), "roots")
-    member = materialise(member.join(named, F.col("root") == F.col("n_root")).select(F.col("fp").alias("m_fp"), "component_id"), "members")
+    prints = materialise(fingerprints(docs, text, shingle), "fps", keep=True)
+    with scratch(docs.sparkSession):
+        nodes = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "nodes")
+        roots = linked(nodes.select("fp", "n"), distance).withColumnRenamed("fp", "r_fp")
+        member = nodes.join(roots, F.col("fp") == F.col("r_fp")).select("fp", "least", "root")
+        # stored, so that both sides are dealt out for the join alone and a large component can be split
+        named = materialise(member.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "n_root"), "roots")
+        member = materialise(member.join(named, F.col("root") == F.col("n_root")).select(F.col("fp").alias("m_fp"), "component_id"), "members", keep=True)
     return prints.join(member, F.col("fp") == F.col("m_fp")).select("doc_id", "fp", "component_id")
 
 
