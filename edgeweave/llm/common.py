@@ -74,19 +74,20 @@ def words_of(text: Column) -> Column:
 
 #: Bytes of an Arrow batch that Spark sends to a Python function; bounds what a worker and the JVM beside it hold.
 BATCH_BYTES = 4 << 20
-_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
 _LEAN: list[bool] = []
 
 
 def lean() -> None:
-    """Lets this worker process give freed arrays back to the system at once, so that idle workers hold little."""
+    """Lets this worker process give freed memory back to the system beyond 64 MB, so that idle workers hold little."""
     if not _LEAN:
         _LEAN.append(True)
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             libc = ctypes.CDLL(None)
             libc.mallopt(_ARENA_MAX, 1)
-            libc.mallopt(_MMAP_THRESHOLD, 2 << 20)
+            libc.mallopt(_MMAP_THRESHOLD, 32 << 20)
+            libc.mallopt(_TRIM_THRESHOLD, 64 << 20)
         except (OSError, AttributeError):  # another C library: only the footprint differs
             pass
 

@@ -40,7 +40,7 @@ from .tokens import default_path, encoder
 SELECTORS = ((240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 BLOCK = 1024
-FILE_IDS = 2_000_000
+FILE_IDS = 800_000
 #: Values in memory stand in rows of a block and of what a word may hold beyond it.
 ROW = BLOCK + 240
 MAGIC = b"S8B1"
@@ -53,7 +53,7 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32), np.zeros(0, np.uint64)
-    v = np.zeros((blocks, ROW), np.uint64)
+    v = np.zeros((blocks, ROW), np.uint32 if int(values.max()) >> 32 == 0 else np.uint64)
     full = n // BLOCK
     v[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
     v[full:, : n - full * BLOCK] = values[full * BLOCK :]
@@ -72,14 +72,14 @@ def pack_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for sel, (k, width) in enumerate(SELECTORS):
         if width and len(w := np.flatnonzero(s == sel)):
             first = at[w]
-            word = flat[first]
-            for j in range(1, k):
-                word |= flat[first + j] << np.uint64(j * width)
-            words[w] |= word
+            word = words[w]
+            for j in range(k):
+                word |= flat[first + j].astype(np.uint64) << np.uint64(j * width)
+            words[w] = word
     w = np.flatnonzero(s == ESCAPE)
     words[w] |= np.arange(len(w), dtype=np.uint64)
     offsets = np.searchsorted(at, np.arange(blocks + 1) * ROW).astype(np.uint32)
-    return words, offsets, flat[at[w]]
+    return words, offsets, flat[at[w]].astype(np.uint64)
 
 
 def _choices(bits: np.ndarray) -> np.ndarray:
@@ -119,7 +119,8 @@ def unpack_words(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n:
     # in rows with room for what the last word of a block holds beyond it
     blocks = len(first)
     at = begins + np.repeat(np.arange(blocks) * ROW - begins[first], np.diff(offsets.astype(np.int64))) if len(words) else begins
-    out = np.zeros(blocks * ROW, np.uint64)
+    small = max([SELECTORS[x][1] for x in np.unique(s[s != ESCAPE]).tolist()], default=0) <= 32 and not len(escapes)
+    out = np.zeros(blocks * ROW, np.uint32 if small else np.uint64)
     for sel, (k, width) in enumerate(SELECTORS):
         if width and len(w := np.flatnonzero(s == sel)):
             to, word, mask = at[w], body[w], np.uint64((1 << width) - 1)
@@ -139,8 +140,8 @@ def write_file(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes
     else:
         found, place, times = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-times, kind="stable")
-    rank = np.zeros(int(found.max()) + 1 if place is ids and len(ids) else len(found), np.uint64)
-    rank[found[order] if place is ids and len(ids) else order] = np.arange(len(order), dtype=np.uint64)
+    rank = np.zeros(int(found.max()) + 1 if place is ids and len(ids) else len(found), np.uint32)
+    rank[found[order] if place is ids and len(ids) else order] = np.arange(len(order), dtype=np.uint32)
     words, offsets, escapes = pack_words(rank[place])
     head = np.array([len(doc_ids), len(ids), len(found), len(words), len(offsets), len(escapes)], "<u8")
     parts = (head, np.array(doc_ids, "<i8"), np.array(lengths, "<u8"), found[order].astype("<u4"), offsets.astype("<u4"), words.astype("<u8"), escapes.astype("<u8"))
