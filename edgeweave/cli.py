@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
 
@@ -25,26 +26,37 @@ def _session() -> SparkSession:
     return s
 
 
-def _print(df: DataFrame, form: str, limit: int = 1000) -> None:
-    """The first rows of a result, for a terminal; files are written by the sinks."""
+def _print(df: DataFrame, form: str) -> None:
+    """All rows of a result, one after another; the driver holds a partition of them at a time."""
     if form == "table":
-        df.show(limit, truncate=False)
-        return
-    rows = [r.asDict(recursive=True) for r in df.limit(limit).collect()]
-    if form == "json":
-        print(json.dumps(rows, default=str, ensure_ascii=False))
+        widths = df.select(*[F.greatest(F.lit(max(4, len(c))), F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0))).alias(c) for c in df.columns]).first()
+        line = lambda cells: print("|" + "|".join(str(x).ljust(w) for x, w in zip(cells, widths, strict=True)) + "|")
+        line(df.columns)
+        for r in df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in df.columns]).toLocalIterator():
+            line(r)
+    elif form == "json":
+        lead = "["
+        for r in df.toLocalIterator():
+            print(lead + json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False), end="")
+            lead = ", "
+        print("]" if lead != "[" else "[]")
+    elif len(df.columns) == 1:  # lines of text
+        print(df.columns[0])
+        for (v,) in df.toLocalIterator():
+            print("" if v is None else v)
     else:
-        print(",".join(df.columns))
-        for r in rows:
-            print(",".join("" if v is None else str(v) for v in r.values()))
+        out = csv.writer(sys.stdout, lineterminator="\n")
+        out.writerow(df.columns)
+        out.writerows(["" if v is None else v for v in r] for r in df.toLocalIterator())
 
 
 def _loaded(spark: SparkSession, path: str, mode: str = "auto"):
     doc = parse_files(spark, path, mode)
-    bad = doc.diagnostics.where("severity = 'error'").limit(20).collect()
-    for b in bad:
+    valid = True
+    for b in doc.diagnostics.where("severity = 'error'").toLocalIterator():
         print(f"[{b.code}] {b.doc_id}: {b.message}", file=sys.stderr)
-    return doc, not bad
+        valid = False
+    return doc, valid
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -112,7 +124,7 @@ def _run(spark: SparkSession, args) -> int:
         s = s.cache()
         for name, df in stats.report(s).items():
             print(f"# {name}")
-            _print(df, "csv", 20)
+            _print(df, "csv")
     elif args.cmd == "conform":
         found = conform.conformance(s, conform.load_schema(args.schema))
         _print(found, "csv")

@@ -38,7 +38,7 @@ def analysis_type(name, given=None) -> Column:
     out = F.when(col(given).isNotNull(), col(given)) if given is not None else F.when(F.lit(False), "")
     for kind, prefix, words in ANALYSIS:
         out = out.when(n.startswith(prefix) | _any(low, words), kind)
-    name_like = n.rlike(r"^\p{Lu}") & ~n.contains("_") & ~F.substring(n, 2, 1000).rlike("[A-Z][a-z]")
+    name_like = n.rlike(r"^\p{Lu}") & ~n.contains("_") & ~F.substring(n, 2, 2**31 - 1).rlike("[A-Z][a-z]")
     return out.when(name_like, "Name").otherwise("Concept")
 
 

@@ -125,7 +125,7 @@ def is_pure(lines: Column) -> Column:
     markdown = F.exists(kinds, lambda k: k.isin("markdown_link", "markdown_list", "markdown_quote"))
     head = F.slice(lines, 1, 3)
     before = lambda i: F.exists(F.slice(lines, 1, i + 1), lambda m: line_type(m["text"]).isin(*STATEMENT_TYPES))
-    title = lambda m, i: trimmed(m["text"]).rlike(r"(?U)^# \s*\p{Lu}") & (F.length(trimmed(F.substring(trimmed(m["text"]), 3, 10_000))) < 50) & ~before(i)
+    title = lambda m, i: trimmed(m["text"]).rlike(r"(?U)^# \s*\p{Lu}") & (F.length(trimmed(F.substring(trimmed(m["text"]), 3, 2**31 - 1))) < 50) & ~before(i)
     header = F.exists(F.transform(head, title), lambda x: x)
     content = F.slice(F.filter(kinds, lambda k: ~k.isin("empty", "comment")), 1, 5)
     good = F.size(F.filter(content, lambda k: k.isin(*STATEMENT_TYPES)))
