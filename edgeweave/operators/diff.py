@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DiffError
 from ..functions.values import canonical, pairs, source_id, target_id
+from ..storage import stored
 
 KEY = ("source_namespace", "source", "target_namespace", "target", "arrow")
 
@@ -56,25 +57,66 @@ def diff_text(entries: DataFrame) -> DataFrame:
     return entries.select("key", "index_a", "index_b", line.alias("line"))
 
 
+#: Order keys of a block: running numbers are windows within blocks plus what lies before the block.
+BLOCK_BITS = 16
+
+
+def _blocks(rows: DataFrame, by: str, what: Column) -> DataFrame:
+    """``rows`` with __block (of ``by``) and __before: the sum of ``what`` over all earlier blocks."""
+    block = F.shiftright(F.col(by).cast("long"), BLOCK_BITS)
+    sums = rows.groupBy(block.alias("__block")).agg(F.sum(what).alias("__sum"))
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    return rows.withColumn("__block", block).join(sums, "__block")
+
+
+def _numbered(rows: DataFrame, by: str, *then: str) -> DataFrame:
+    """``rows`` with ``at``: their number from 0 in the order of ``by`` and ``then``."""
+    inside = Window.partitionBy("__block").orderBy(by, *then)
+    return _blocks(rows, by, F.lit(1)).withColumn("at", F.col("__before") + F.row_number().over(inside) - 1).drop("__block", "__before")
+
+
+def _running(rows: DataFrame, by: str, what: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``what`` over all rows whose ``by`` is not greater."""
+    inside = Window.partitionBy("__block").orderBy(by)
+    return _blocks(rows, by, F.col(what)).withColumn(name, F.col("__before") + F.sum(what).over(inside)).drop("__block", "__before")
+
+
 def patch(a: DataFrame, entries: DataFrame, b: DataFrame) -> DataFrame:
     """``a`` with the entries applied; ``b`` is where added and changed statements are taken from.
 
-    One document. The i-th addition (by index_b) has the order key (index_b - i, 0, i),
-    the k-th survivor (k, 1, 0). Raises E951 if an entry meets another text than it expects.
+    One document. Statements are found by index and text, so an index may have
+    gaps and repeat. An addition comes after as many survivors as ``b`` has
+    statements, other than additions, with its index or a smaller one. Raises
+    E951 if an entry meets another text than it expects.
     """
-    taken = entries.where("op in ('remove', 'modify')").select("op", "index_a", "index_b", "statement_a")
-    a_text = a.withColumn("__text", canonical())
-    wrong = taken.join(a_text.select(F.col("stmt_idx").alias("index_a"), F.col("__text").alias("statement_a")), ["index_a", "statement_a"], "left_anti")
-    if wrong.limit(1).count():
-        raise DiffError("E951")
     body = [c for c in b.columns if c not in ("doc_id", "stmt_idx")]
-    fresh = b.select(F.col("stmt_idx").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in body])
-    left = a.join(taken.select("op", "index_a", F.col("index_b").alias("__to")), a["stmt_idx"] == F.col("index_a"), "left").where("op is null or op <> 'remove'")
-    left = left.join(fresh, F.col("__to") == F.col("__b"), "left")
-    kept = left.select("stmt_idx", *[F.when(F.col("op") == "modify", F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in body])
-    number = lambda d, by: d.withColumn("__i", F.row_number().over(Window.orderBy(by)) - 1)
-    survivors = number(kept, "stmt_idx").select(F.col("__i").alias("__x"), F.lit(1).alias("__y"), F.lit(0).alias("__z"), *body)
-    adds = number(entries.where("op = 'add'").select("index_b"), "index_b")
-    new = adds.join(fresh, F.col("index_b") == F.col("__b")).select((F.col("index_b") - F.col("__i")).alias("__x"), F.lit(0).alias("__y"), F.col("__i").alias("__z"), *[F.col(f"b_{c}").alias(c) for c in body])
-    out = survivors.unionByName(new).withColumn("stmt_idx", (F.row_number().over(Window.orderBy("__x", "__y", "__z")) - 1).cast("int"))
+    text = F.xxhash64(canonical())
+    e = stored(entries.select("op", "index_a", F.xxhash64("statement_a").alias("text_a"), "index_b", F.xxhash64("statement_b").alias("text_b")))
+    same = lambda i, t, by: F.row_number().over(Window.partitionBy(i, t).orderBy(by))
+    taken = e.where("op in ('remove', 'modify')").withColumn("nth_a", same("index_a", "text_a", F.col("index_b").asc_nulls_last()))
+    old = a.withColumn("__text", text).withColumn("__nth", same("stmt_idx", "__text", "path_type"))
+    found = (F.col("stmt_idx") == F.col("index_a")) & (F.col("__text") == F.col("text_a")) & (F.col("__nth") == F.col("nth_a"))
+    met = stored(old.select("stmt_idx", "__text", "__nth").join(taken, found, "left").select("stmt_idx", "__text", "__nth", "op", "index_b", "text_b"))
+    if met.where("op is not null").count() < taken.count():
+        raise DiffError("E951")
+    survivors = met.where("op is null or op = 'modify'")
+    n = survivors.count()
+
+    added = e.where("op = 'add'").select("index_b", "text_b")
+    per = b.select(F.col("stmt_idx").alias("index_b"), F.lit(1).alias("others"), F.lit(0).alias("adds"))
+    per = per.unionByName(added.select("index_b", F.lit(-1).alias("others"), F.lit(1).alias("adds"))).groupBy("index_b").agg(F.sum("others").alias("others"), F.sum("adds").alias("adds"))
+    after = _running(per, "index_b", "others", "after").where("adds > 0").select(F.col("index_b").alias("__b"), F.least("after", F.lit(n)).alias("after"), "adds")
+    after = stored(after)
+    new = _numbered(added, "index_b", "text_b").join(after.drop("adds"), F.col("index_b") == F.col("__b")).select("index_b", "text_b", (F.col("at") + F.col("after")).alias("at"))
+    kept = _numbered(survivors, "stmt_idx", "__text", "__nth").select(F.col("at").alias("k"), F.lit(0).cast("long").alias("adds"), *survivors.columns)
+    kept = kept.unionByName(after.select(F.col("after").alias("k"), "adds"), allowMissingColumns=True)
+    kept = stored(_running(kept, "k", "adds", "ahead").where("stmt_idx is not null").withColumn("at", F.col("k") + F.col("ahead")))
+
+    fresh = b.withColumn("__text", text).withColumn("__nth", same("stmt_idx", "__text", "path_type")).where("__nth = 1")
+    placed = new.unionByName(kept.where("op = 'modify'").select("index_b", "text_b", "at"))
+    placed = fresh.join(placed, (F.col("stmt_idx") == F.col("index_b")) & (F.col("__text") == F.col("text_b"))).select("at", *body)
+    as_is = kept.where("op is null").select(F.col("stmt_idx").alias("k_idx"), F.col("__text").alias("k_text"), F.col("__nth").alias("k_nth"), "at")
+    as_is = old.join(as_is, (F.col("stmt_idx") == F.col("k_idx")) & (F.col("__text") == F.col("k_text")) & (F.col("__nth") == F.col("k_nth"))).select("at", *body)
+    out = as_is.unionByName(placed).withColumn("stmt_idx", F.col("at").cast("int"))
     return out.withColumn("doc_id", F.lit("0")).select("doc_id", "stmt_idx", *body)

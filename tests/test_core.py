@@ -245,6 +245,17 @@ def test_diff(spark):
     assert (ns.added, ns.removed) == (2, 1)
 
 
+def test_patch_by_place(spark):
+    """Indices with gaps, and with one that an addition shares with an older statement."""
+    old = [(i, f"S{i}", "one") for i in range(0, 200_000, 20_000)]
+    later = [(i, s, "two" if i % 40_000 else r) for i, s, r in old if i != 60_000] + [(i, f"N{i}", "one") for i in (5, 20_000, 20_001, 100_000, 100_000, 199_999)]
+    made = lambda rows: statements_from(spark.createDataFrame(rows, "i int, s string, r string"), F.col("s"), F.lit("T"), doc_id=F.lit("0"), stmt_idx=F.col("i"), rule=F.col("r"))
+    a, b = made(old).repartition(3), made(later).repartition(3)
+    rows = sorted(diff.patch(a, diff.diff(a, b), b).select("stmt_idx", "source", "modifiers.rule").collect())
+    want = sorted(later, key=lambda x: (x[0], x[1][0] == "N"))
+    assert [tuple(r) for r in rows] == [(at, s, r) for at, (_, s, r) in enumerate(want)]
+
+
 # --- graph
 
 
