@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (SimHash blocks, checked on five-word shingles: similarity 0.8 or more) the document with the smallest id stays."""
     return without_near_copies(docs)
 
 

@@ -1,16 +1,25 @@
-"""Near copies by the similarity of word shingles: candidates from MinHash bands, exact check, components.
+"""Near copies by the similarity of word shingles: candidates from blocks of SimHash fingerprints, exact check, components.
 
 Texts are lower-cased (A-Z) and cut into words; a text's set is that of its
 ``SHINGLE``-word shingles (all its words if it has fewer). Texts are linked if
 the Jaccard similarity of their sets is ``LEAST`` or more; documents are in one
 component if links connect them.
 
-Candidates: ``BANDS`` keys of ``ROWS`` minima each. A pair at a similarity of
-exactly 0.8 shares no key with a chance of (1 - 0.8^5)^25 = 0.00005, a closer
-one with less. Pairs that meet are compared by the sizes of their sets (exact)
-and by a bit of each of ``BITS`` minima (at 0.8, 13 differ on average; more than
-``MOST_BITS`` with a chance below a millionth); those left are checked on the
-sets themselves, so that no link is below ``LEAST``.
+Candidates: SimHash fingerprints over the shingles, cut into blocks. For each bit
+a shingle's hash gives a signed weight (the sum of eight entries of a table, one
+for each byte: tabulation), and the bit is the sign of the sum over the set. Bits
+of two sets differ with the chance angle / pi, where the cosine of the angle is
+|A & B| / sqrt(|A| |B|): at a similarity of 0.8 or more it is ``APART`` (0.152) at
+most. At that share no number of blocks is sure to leave one alike and still
+tells texts apart, as it is for few differing bits (``simhash``). So the
+fingerprint is as long as it takes: so many blocks that a pair at exactly 0.8
+shares none with a chance of ``MISS``, a closer one with less (``shape``). The
+width of a block follows the number of documents; narrow blocks, which need few
+keys, have many chance meetings, and ``alive`` drops those members of a key that
+no other member of it may link to, by ``FIRST`` further bits. Pairs that are left
+are compared by the sizes of their sets (exact) and by ``BITS`` bits (at 0.8, 39
+differ on average; more than ``MOST`` of them with a chance of about a millionth);
+those left are checked on the sets themselves, so that no link is below ``LEAST``.
 
 Texts with equal sets are one node (a 64-bit hash stands for the set). As in
 ``simhash.linked``, the members of a key are first held against three pivots,
@@ -22,8 +31,10 @@ it. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +48,25 @@ from .simhash import apart, components
 SHINGLE = 5
 LEAST = Fraction(4, 5)
 SEED = 42
-BANDS, ROWS = 25, 5
-BITS, MOST_BITS = 128, 32
-#: Shingles whose hashes are multiplied at once; bounds the arrays.
-SLICE = 2048
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, max(BITS, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Share of bits in which sets of similarity ``LEAST`` differ at most, and the chance that a pair at it shares no block.
+APART = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
+MISS = 5e-5
+#: (most documents, bits of a block).
+LADDER = ((1 << 18, 12), (1 << 22, 14), (1 << 26, 16), (1 << 62, 20))
+#: Bits beside the blocks that a pair is held against, and how many may differ: of all, and of the first two longs.
+BITS, MOST = 256, 67
+FIRST, MOST_FIRST = 128, 41
+WORDS = [f"b{i}" for i in range(BITS // 64)]
+#: Members of a key that are compared with one another; those of a larger key all stay.
+LONG = 2048
+#: Texts whose fingerprints are made at once; bounds the arrays.
+SLICE = 256
+
+
+def shape(documents: int) -> tuple[int, int]:
+    """(blocks, bits of a block)."""
+    width = next(w for most, w in LADDER if documents <= most)
+    return math.ceil(math.log(MISS) / math.log1p(-((1 - APART) ** width))), width
 
 
 def shingles(body: bytes, shingle: int = SHINGLE) -> set[bytes]:
@@ -59,45 +84,98 @@ def similar(a: set[bytes], b: set[bytes], least: Fraction = LEAST) -> bool:
     return both * least.denominator >= (len(a) + len(b) - both) * least.numerator
 
 
-def sketch(body: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(hash of the set, its size, key of each band, BITS bits as two longs)."""
-    own = shingles(body)
-    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own)))
-    least = np.full(len(FACTORS), ~np.uint64(0))
-    for i in range(0, len(h), SLICE):
-        np.minimum(least, (FACTORS[:, None] * h[None, i : i + SLICE]).min(axis=1), out=least)
-    node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64).view(np.int64)
-    bits = np.packbits((least[:BITS] >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64)
-    return node, len(own), keys, bits
+@lru_cache(maxsize=2)
+def weights(bits: int) -> np.ndarray:
+    """Whole-number weights: a row for each byte of a hash and its low seven bits (the eighth is the sign), a column a bit."""
+    return np.rint(np.random.default_rng(SEED).standard_normal((1024, bits), np.float32) * 16)
+
+
+def fingerprints(hashes: list[np.ndarray], blocks: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each block, ``BITS`` further bits as longs): a row for each set of ``hashes``."""
+    counts = np.zeros((len(hashes), 1024), np.float32)
+    at = np.arange(8) * 256
+    for i, h in enumerate(hashes):
+        n = np.bincount((h.view(np.uint8).reshape(-1, 8) + at).reshape(-1), minlength=2048).reshape(8, 2, 128)
+        counts[i] = (n[:, 0] - n[:, 1]).reshape(-1)
+    bits = counts @ weights(BITS + blocks * width) > 0
+    keys = bits[:, BITS:].reshape(-1, blocks, width).astype(np.float32) @ (2.0 ** np.arange(width, dtype=np.float32))
+    return keys.astype(np.int32), np.packbits(bits[:, :BITS], axis=1).view(np.int64)
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, row (a hash of the text), node, size, keys, b0, b1."""
+    """doc_id, row (a hash of the text), node (a hash of the set), size (of the set), keys, and the further bits."""
+    blocks, width = shape(docs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sketch(x or b"") for x in b.column("body").to_pylist()]
-            bits = np.array([g[3] for g in got], np.int64).reshape(-1, 2)
-            yield pa.record_batch({
-                "doc_id": b.column("doc_id"),
-                "row": b.column("row"),
-                "node": pa.array(np.array([g[0] for g in got], np.uint64).view(np.int64), pa.int64()),
-                "size": pa.array([g[1] for g in got], pa.int32()),
-                "keys": pa.array([g[2].tolist() for g in got], pa.list_(pa.int64())),
-                "b0": pa.array(bits[:, 0], pa.int64()),
-                "b1": pa.array(bits[:, 1], pa.int64()),
-            })
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                b = whole.slice(begin, SLICE)
+                sets = [shingles(x or b"") for x in b.column("body").to_pylist()]
+                hashes = [np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own))) for own in sets]
+                keys, bits = fingerprints(hashes, blocks, width)
+                yield pa.record_batch({
+                    "doc_id": b.column("doc_id"),
+                    "row": b.column("row"),
+                    "node": pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64), pa.int64()),
+                    "size": pa.array([len(own) for own in sets], pa.int32()),
+                    "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * blocks), pa.array(keys.reshape(-1))),
+                    **{c: pa.array(np.ascontiguousarray(bits[:, k])) for k, c in enumerate(WORDS)},
+                })
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).cast("binary").alias("body"))
-    return mapped(slim, run, "doc_id long, row long, node long, size int, keys array<long>, b0 long, b1 long")
+    return mapped(slim, run, "doc_id long, row long, node long, size int, keys array<int>, " + ", ".join(f"{c} long" for c in WORDS))
+
+
+def alive(slot: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Whether another row with its slot differs in few of the first bits; ``slot`` is sorted. Rows of a slot with over ``LONG`` rows all stay."""
+    if not len(slot):
+        return np.zeros(0, bool)
+    b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # of a signed number numpy counts the bits of the absolute value
+    edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+    lengths = np.diff(edges)
+    out = np.repeat(lengths > LONG, lengths)
+    last = np.repeat(edges[1:], lengths)
+    i = np.flatnonzero(~out)
+    for d in range(1, int(lengths[lengths <= LONG].max(initial=0))):
+        i = i[i + d < last[i]]
+        j = i + d
+        near = np.bitwise_count(b0[i] ^ b0[j]) + np.bitwise_count(b1[i] ^ b1[j]) <= MOST_FIRST
+        out[i[near]] = out[j[near]] = True
+    return out
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """c, key, node: the members of a key of which another member may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, large = [np.zeros(0, np.int64)] * 4, None
+        for b in batches:
+            rest = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
+            slot = rest[0]
+            if not len(slot):
+                continue
+            known = np.searchsorted(slot, large, "right") if large is not None else 0
+            begin = max(known, np.searchsorted(slot, slot[-1]))
+            keep = np.concatenate([np.ones(known, bool), alive(*(rest[k][known:begin] for k in (0, 2, 3))), np.zeros(len(slot) - begin, bool)])
+            if len(slot) - begin > LONG:  # goes on in the next batch; all that come have as many beside them
+                large = slot[-1]
+                keep[begin:] = True
+                begin = len(slot)
+            yield pa.record_batch({"slot": slot[keep], "node": rest[1][keep]})
+            rest = [r[begin:] for r in rest]
+        keep = alive(rest[0], rest[2], rest[3])
+        yield pa.record_batch({"slot": rest[0][keep], "node": rest[1][keep]})
+
+    keyed = nodes.select(F.posexplode("keys").alias("c", "key"), "node", "b0", "b1")
+    keyed = keyed.select((F.shiftleft(F.col("c").cast("long"), 32) + F.col("key")).alias("slot"), "node", "b0", "b1")
+    met = mapped(keyed.repartition("slot").sortWithinPartitions("slot"), run, "slot long, node long")
+    return met.select(F.shiftright("slot", 32).cast("int").alias("c"), F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("key"), "node")
 
 
 def _may_link(a, b) -> Column:
     """Whether sizes and bits allow a link; ``a`` and ``b`` give a column by its name."""
     sizes = F.least(a("size"), b("size")) * LEAST.denominator >= F.greatest(a("size"), b("size")) * LEAST.numerator
-    return sizes & (apart(a("b0"), b("b0")) + apart(a("b1"), b("b1")) <= MOST_BITS)
+    return sizes & (sum((apart(a(c), b(c)) for c in WORDS), F.lit(0)) <= MOST)
 
 
 def texts_of(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -141,7 +219,7 @@ def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the pairs of ``mine`` (c, key, node, size, b0, b1, root, hub, hub_met) that share a key, lie in different components and may be similar.
+    """a, b: the pairs of ``mine`` (c, key, node, size, bits, root, hub, hub_met) that share a key, lie in different components and may be similar.
 
     In a group around a common text most pairs are too far apart, and their
     number is the square of the group's. So each node belongs to the group of
@@ -152,7 +230,7 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
     if it is enough, or from a shingle that both have beside the common set,
     which no more than so many members have.
     """
-    nodes = mine.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "b0", "b1", "root")], F.max_by("hub", F.struct("hub_met", "hub")).alias("hub"))
+    nodes = mine.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *WORDS, "root")], F.max_by("hub", F.struct("hub_met", "hub")).alias("hub"))
     nodes = materialise(nodes, "open-nodes")
     sets = materialise(nodes.select("node", "hub").join(sets_of(nodes, texts), F.col("node") == F.col("s_node")).drop("s_node"), "sets")
     many = sets.groupBy(F.col("hub").alias("m_hub")).agg(F.greatest(F.lit(64.0), 8 * F.sqrt(F.count("*"))).alias("most"))
@@ -163,7 +241,7 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
     near = sets.join(common, F.col("hub") == F.col("c_hub"), "left").select(F.col("node").alias("s_node"), "own", F.coalesce("common", none).alias("common"))
     near = near.select("s_node", F.size(F.array_intersect("own", "common")).alias("both"), F.array_except("own", "common").alias("beside"))
     near = materialise(nodes.join(near, F.col("node") == F.col("s_node")).drop("s_node"), "near")
-    cols = ["node", "size", "b0", "b1", "root", "hub", "both"]
+    cols = ["node", "size", *WORDS, "root", "hub", "both"]
     apart_yet = (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _may_link(F.col, lambda k: F.col(f"o_{k}"))
     other = lambda d: d.select(*[F.col(x).alias(f"o_{x}") for x in d.columns])
     enough = F.least("both", "o_both") * (LEAST.numerator + LEAST.denominator) >= (F.col("size") + F.col("o_size")) * LEAST.numerator
@@ -177,11 +255,11 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
 
 def linked(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """node, root of all nodes: the same root for all that links connect."""
-    cols = ["node", "size", "b0", "b1"]
-    keyed = nodes.select(F.posexplode("keys").alias("c", "key"), *cols)
+    cols = ["node", "size", *WORDS]
     on_key = (F.col("c") == F.col("s_c")) & (F.col("key") == F.col("s_key"))
-    shared = keyed.groupBy(F.col("c").alias("s_c"), F.col("key").alias("s_key")).agg(F.count("*").alias("m")).where("m > 1")
-    met = materialise(keyed.join(materialise(shared, "keys"), on_key).select("c", "key", *cols, "m"), "met")
+    met = materialise(meetings(nodes), "meetings")
+    shared = materialise(met.groupBy(F.col("c").alias("s_c"), F.col("key").alias("s_key")).agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    met = materialise(met.withColumnRenamed("node", "k_node").join(nodes.select(*cols), F.col("k_node") == F.col("node")).join(shared, on_key).select("c", "key", *cols, "m"), "met")
     # the text that most others resemble meets most of them: as a pivot of all its keys it gathers a group around it
     popular = met.groupBy(F.col("node").alias("v_node")).agg(F.sum("m").alias("met"))
     met = materialise(met.join(popular, F.col("node") == F.col("v_node")).select("c", "key", *cols, "met"), "met")
@@ -210,7 +288,7 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, row, root of every row: rows in one component have one root."""
     prints = materialise(sketches(docs, text), "sketches")
     slim = prints.select("doc_id", "row", "node")
-    nodes = materialise(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "b0", "b1")]), "nodes")
+    nodes = materialise(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", *WORDS)]), "nodes")
     roots = linked(nodes, slim, docs, text).withColumnRenamed("node", "r_node")
     return materialise(slim.join(roots, F.col("node") == F.col("r_node")).select("doc_id", "row", "root"), "rooted")
 

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from edgeweave.llm import nearcopies
 from tests.llm.conftest import texts
@@ -92,3 +94,40 @@ def test_group_around_a_common_text(spark):
     want = brute_components(rows)
     assert len(set(want)) > 20
     assert Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect()) == Counter((d, c) for (d, _), c in zip(rows, want, strict=True))
+
+
+def test_blocks_of_fingerprints():
+    """Sets at a similarity of exactly 0.8 share a block of their SimHash fingerprints and few of the further bits differ; others differ in half."""
+    r = np.random.default_rng(5)
+    for documents in (1000, 1 << 20):
+        blocks, width = nearcopies.shape(documents)
+        for n in (4, 40, 400):
+            both = [r.integers(0, 1 << 64, 2 * n, np.uint64) for _ in range(150)]
+            own = lambda: [np.concatenate([x, r.integers(0, 1 << 64, n // 4, np.uint64)]) for x in both]  # noqa: E731, B023
+            (ka, ba), (kb, bb) = (nearcopies.fingerprints(x, blocks, width) for x in (own(), own()))
+            assert (ka == kb).any(axis=1).all()
+            differ = np.bitwise_count((ba ^ bb).view(np.uint64)).sum(axis=1)
+            assert differ.max() <= nearcopies.MOST and abs(differ.mean() / nearcopies.BITS - nearcopies.APART) < 0.02
+            assert abs(np.bitwise_count((ba ^ np.roll(bb, 1, axis=0)).view(np.uint64)).sum(axis=1).mean() / nearcopies.BITS - 0.5) < 0.02
+
+
+def test_meetings(spark, monkeypatch):
+    """Members of a key stay if another one may link, also where a key is spread over batches; of a large key all stay."""
+    r = np.random.default_rng(6)
+    bits = r.integers(-(1 << 63), (1 << 63) - 1, (3000, 2), np.int64)
+    bits[::7] = bits[1::7][: len(bits[::7])] ^ 5
+    rows = [(i, [int(r.integers(0, 40)), 0 if i % 2 else i], int(x), int(y)) for i, (x, y) in enumerate(bits)]
+    size = Counter((c, k) for _, keys, *_ in rows for c, k in enumerate(keys))
+    near = np.bitwise_count((bits[:, None] ^ bits[None]).view(np.uint64)).sum(axis=2) <= nearcopies.MOST_FIRST
+    want = set()
+    for i, keys, *_ in rows:
+        for c, k in enumerate(keys):
+            if size[c, k] > 1000 or any(rows[j][1][c] == k for j in np.flatnonzero(near[i]).tolist() if j != i):
+                want.add((c, k, i))
+    monkeypatch.setattr(nearcopies, "LONG", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = nearcopies.meetings(spark.createDataFrame(rows, "node long, keys array<int>, b0 long, b1 long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(tuple(x) for x in got) == Counter(want) and 1500 < len(want) < 3500
