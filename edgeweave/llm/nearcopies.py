@@ -59,6 +59,8 @@ FIRST, MOST_FIRST = 128, 41
 WORDS = [f"b{i}" for i in range(BITS // 64)]
 #: Members of a key that are compared with one another; those of a larger key all stay.
 LONG = 2048
+#: Members of a group around a text of which all pairs are made.
+SMALL = 64
 #: Texts whose fingerprints are made at once; bounds the arrays.
 SLICE = 256
 
@@ -223,34 +225,44 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
 
     In a group around a common text most pairs are too far apart, and their
     number is the square of the group's. So each node belongs to the group of
-    the hub it meets most, and a group has a common set: the shingles that more
-    than 8 sqrt(n) (and over 64) of its n members have. Two sets that share
-    nothing beside the common set share at most what each has of it; where that
-    is too little, they can't be similar. Hence pairs of one group are made only
-    if it is enough, or from a shingle that both have beside the common set,
-    which no more than so many members have.
+    the hub it meets most. Of a group of at most ``SMALL`` all pairs are made; a
+    larger one has a common set: the shingles that more than 8 sqrt(n) (and over
+    ``SMALL``) of its n members have. Two sets that share nothing beside the
+    common set share at most what each has of it; where that is too little, they
+    can't be similar. Hence pairs of one large group are made only if it is
+    enough, or from a shingle that both have beside the common set, which no more
+    than so many members have. Of those shingles the first in the order of their
+    hashes do: sets that must share ``need`` of them share one before the last
+    ``need`` - 1 of either (prefix filter).
     """
     nodes = mine.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *WORDS, "root")], F.max_by("hub", F.struct("hub_met", "hub")).alias("hub"))
     nodes = materialise(nodes, "open-nodes")
-    sets = materialise(nodes.select("node", "hub").join(sets_of(nodes, texts), F.col("node") == F.col("s_node")).drop("s_node"), "sets")
-    many = sets.groupBy(F.col("hub").alias("m_hub")).agg(F.greatest(F.lit(64.0), 8 * F.sqrt(F.count("*"))).alias("most"))
-    common = sets.select("hub", F.explode("own").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n"))
-    common = common.join(many, F.col("hub") == F.col("m_hub")).where("n > most").groupBy(F.col("hub").alias("c_hub")).agg(F.collect_set("h").alias("common"))
+    many = nodes.groupBy(F.col("hub").alias("m_hub")).agg(F.count("*").alias("members"))
+    nodes = materialise(nodes.join(many, F.col("hub") == F.col("m_hub")).drop("m_hub"), "grouped")
+    small, large = nodes.where(F.col("members") <= SMALL), nodes.where(F.col("members") > SMALL)
+    sets = large.select("node", "hub", "members", "size").join(sets_of(large, texts), F.col("node") == F.col("s_node")).drop("s_node")
+    sets = materialise(sets, "sets")
+    common = sets.select("hub", "members", F.explode("own").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n"), F.first("members").alias("members"))
+    common = common.where(F.col("n") > F.greatest(F.lit(float(SMALL)), 8 * F.sqrt("members"))).groupBy(F.col("hub").alias("c_hub")).agg(F.collect_set("h").alias("common"))
     common = materialise(common, "common")
     none = F.array().cast("array<bigint>")
-    near = sets.join(common, F.col("hub") == F.col("c_hub"), "left").select(F.col("node").alias("s_node"), "own", F.coalesce("common", none).alias("common"))
-    near = near.select("s_node", F.size(F.array_intersect("own", "common")).alias("both"), F.array_except("own", "common").alias("beside"))
-    near = materialise(nodes.join(near, F.col("node") == F.col("s_node")).drop("s_node"), "near")
+    near = sets.join(common, F.col("hub") == F.col("c_hub"), "left").withColumn("common", F.coalesce("common", none))
+    near = near.select(F.col("node").alias("s_node"), "size", F.size(F.array_intersect("own", "common")).alias("both"), F.array_sort(F.array_except("own", "common")).alias("beside"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("size") * LEAST.numerator / LEAST.denominator) - F.col("both"))
+    ahead = F.greatest(F.lit(0), F.size("beside") - need + 1).cast("int")
+    near = materialise(near.select("s_node", "both", F.slice("beside", F.lit(1), ahead).alias("ahead")), "near")
     cols = ["node", "size", *WORDS, "root", "hub", "both"]
     apart_yet = (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _may_link(F.col, lambda k: F.col(f"o_{k}"))
     other = lambda d: d.select(*[F.col(x).alias(f"o_{x}") for x in d.columns])
+    made = lambda d, by: d.join(other(d), by & apart_yet).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+    same_hub, on_key = F.col("hub") == F.col("o_hub"), (F.col("c") == F.col("o_c")) & (F.col("key") == F.col("o_key"))
     enough = F.least("both", "o_both") * (LEAST.numerator + LEAST.denominator) >= (F.col("size") + F.col("o_size")) * LEAST.numerator
-    keyed = materialise(mine.select("c", "key", F.col("node").alias("k_node")).join(near.select(*cols), F.col("k_node") == F.col("node")).select("c", "key", *cols), "keyed")
-    on_key = (F.col("c") == F.col("o_c")) & (F.col("key") == F.col("o_key"))
-    by_key = keyed.join(other(keyed), on_key & apart_yet & ((F.col("hub") != F.col("o_hub")) | enough)).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-    beside = materialise(near.select(*cols, F.explode("beside").alias("h")), "beside")
-    by_own = beside.join(other(beside), (F.col("hub") == F.col("o_hub")) & (F.col("h") == F.col("o_h")) & apart_yet).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-    return by_key.unionByName(by_own).distinct()
+    held = nodes.join(near.select("s_node", "both"), F.col("node") == F.col("s_node"), "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    keyed = materialise(mine.select("c", "key", F.col("node").alias("k_node")).join(held.select(*cols), F.col("k_node") == F.col("node")).select("c", "key", *cols), "keyed")
+    beside = materialise(large.join(near, F.col("node") == F.col("s_node")).select(*cols, F.explode("ahead").alias("h")), "beside")
+    by_key = made(keyed, on_key & (~same_hub | enough))
+    by_own = made(beside, same_hub & (F.col("h") == F.col("o_h")))
+    return by_key.unionByName(by_own).unionByName(made(small.select(*[c for c in cols if c != "both"]), same_hub)).distinct()
 
 
 def linked(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:

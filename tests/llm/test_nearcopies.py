@@ -131,3 +131,26 @@ def test_meetings(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert Counter(tuple(x) for x in got) == Counter(want) and 1500 < len(want) < 3500
+
+
+def test_rows_for_the_second_round(spark, monkeypatch):
+    """Small groups give no row for a shingle, larger ones only for those ahead in the prefix filter; the components stay the same."""
+    made = Counter()
+    real = nearcopies.materialise
+
+    def counted(df, label="t", keep=False):
+        out = real(df, label, keep)
+        made[label] += out.count()
+        return out
+
+    rows = cases()
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA).repartition(3)
+    want = Counter(zip((d for d, _ in rows), brute_components(rows), strict=True))
+    monkeypatch.setattr(nearcopies, "materialise", counted)
+    assert Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect()) == want
+    assert made["open-nodes"] > 20 and made["sets"] == made["beside"] == 0
+    made.clear()
+    monkeypatch.setattr(nearcopies, "SMALL", 1)  # all are large groups: a fifth of the shingles and one more are ahead
+    assert Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect()) == want
+    longest = max(len(brute_set(t)) for _, t in rows)
+    assert made["sets"] > 20 and 0 < made["beside"] <= made["sets"] * (longest // 5 + 1)
