@@ -135,7 +135,7 @@ class Spans:
         last &= fits
         lo, hi = np.flatnonzero(new), np.flatnonzero(last)
         mid = anchor[lo].astype(np.int64)
-        self.gram = grams[mid]
+        self.gram = C.mix(grams[mid])  # smallest hashes lie close together: scrambled once more they spread evenly over the buckets
         self.context = C.mix(hashes.of(lo, hi + length - lo) ^ ((mid - lo).astype(np.uint64) << np.uint64(32)) ^ (hi - lo).astype(np.uint64))
         self.lo, self.hi = lo.astype(np.int32), hi.astype(np.int32)
 

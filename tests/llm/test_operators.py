@@ -595,6 +595,14 @@ def test_suffixes(docs, rows, empty):
     assert suffixes.suffix_deduplicated(empty).count() == 0
 
 
+def test_anchors_spread_over_buckets():
+    """The lists of anchors that chunks exchange are about equal for all buckets."""
+    r = random.Random(4)
+    body = "".join(r.choice("abcdefgh ") for _ in range(400_000)).encode()
+    size = np.diff(chunks.spread(suffixes.Chunk([body[:150_000], body[150_000:]]).pairs[0], 16))
+    assert size.sum() > 10_000 and size.max() < 1.5 * size.mean()
+
+
 def test_suffixes_of_long_texts(spark):
     r = np.random.default_rng(3)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz   ", np.uint8)
