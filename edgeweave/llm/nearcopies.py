@@ -15,15 +15,16 @@ tells texts apart, as it is for few differing bits (``simhash``). So the
 fingerprint is as long as it takes: so many blocks that a pair at exactly 0.8
 shares none with a chance of ``MISS``, a closer one with less (``shape``). The
 width of a block follows the number of documents; narrow blocks, which need few
-keys, have many chance meetings, and ``alive`` drops those members of a key that
-no other member of it may link to, by ``FIRST`` further bits. Pairs that are left
+keys, have many chance meetings, and ``parts`` divides the members of a key into
+those that may link to one another, by ``FIRST`` further bits; each such part is a
+place of its own, and members alone in theirs go. Pairs that are left
 are compared by the sizes of their sets (exact) and by ``BITS`` bits (at 0.8, 39
 differ on average; more than ``MOST`` of them with a chance of about a millionth);
 those left are checked on the sets themselves, so that no link is below ``LEAST``.
 
-Texts with equal sets are one node (a 64-bit hash stands for the set). As in
-``simhash.linked``, the members of a key are first held against three pivots,
-and only then those pairs are made that are not yet in one component.
+Texts with equal sets are one node (a 64-bit hash stands for the set). Members of
+a place are first held against its hub, then against three pivots, and only then
+those pairs are made that are not yet in one component.
 
 Nulls: a null or wordless text has the empty set and is a copy of others like
 it. An empty table gives an empty result.
@@ -128,28 +129,44 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     return mapped(slim, run, "doc_id long, row long, node long, size int, keys array<int>, " + ", ".join(f"{c} long" for c in WORDS))
 
 
-def alive(slot: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """Whether another row with its slot differs in few of the first bits; ``slot`` is sorted. Rows of a slot with over ``LONG`` rows all stay."""
+def parts(slot: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """For each row the first row of its part of the slot, or -1 if it is alone; ``slot`` is sorted.
+
+    Rows of a slot that differ in few of the first bits are in one part, also if only others connect them. A slot with over ``LONG`` rows is one part.
+    """
     if not len(slot):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     b0, b1 = b0.view(np.uint64), b1.view(np.uint64)  # of a signed number numpy counts the bits of the absolute value
     edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
     lengths = np.diff(edges)
-    out = np.repeat(lengths > LONG, lengths)
-    last = np.repeat(edges[1:], lengths)
-    i = np.flatnonzero(~out)
+    large = np.repeat(lengths > LONG, lengths)
+    first, last = np.where(large, np.repeat(edges[:-1], lengths), np.arange(len(slot))), np.repeat(edges[1:], lengths)
+    i = np.flatnonzero(~large)
     for d in range(1, int(lengths[lengths <= LONG].max(initial=0))):
         i = i[i + d < last[i]]
-        j = i + d
-        near = np.bitwise_count(b0[i] ^ b0[j]) + np.bitwise_count(b1[i] ^ b1[j]) <= MOST_FIRST
-        out[i[near]] = out[j[near]] = True
-    return out
+        a = i[first[i] != first[i + d]]
+        a = a[np.bitwise_count(b0[a] ^ b0[a + d]) + np.bitwise_count(b1[a] ^ b1[a + d]) <= MOST_FIRST]
+        b = a + d
+        while len(a):
+            u, v = first[a], first[b]
+            np.minimum.at(first, np.maximum(u, v), np.minimum(u, v))
+            while not np.array_equal(up := first[first], first):
+                first = up
+            a, b = a[(open_ := first[a] != first[b])], b[open_]
+    return np.where(np.bincount(first, minlength=len(first))[first] > 1, first, -1)
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """c, key, node: the members of a key of which another member may be similar."""
+def gatherings(nodes: DataFrame) -> DataFrame:
+    """c, key, node, place: the members of a key of which another member may be similar; members that may be similar share a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[np.ndarray], part: np.ndarray) -> pa.RecordBatch:
+            keep = part >= 0
+            slot, part = rows[0][keep], part[keep]
+            sizes = np.bincount(part, minlength=len(keep))  # a long slot, also one that goes on, has no name but its own
+            name = np.where(sizes[part] > LONG, 0, rows[1][part])
+            return pa.record_batch({"slot": slot, "part": name, "node": rows[1][keep]})
+
         rest, large = [np.zeros(0, np.int64)] * 4, None
         for b in batches:
             rest = [np.concatenate([r, b.column(k).to_numpy()]) for k, r in enumerate(rest)]
@@ -157,21 +174,27 @@ def meetings(nodes: DataFrame) -> DataFrame:
             if not len(slot):
                 continue
             known = np.searchsorted(slot, large, "right") if large is not None else 0
+            if known:
+                yield pa.record_batch({"slot": slot[:known], "part": np.zeros(known, np.int64), "node": rest[1][:known]})
             begin = max(known, np.searchsorted(slot, slot[-1]))
-            keep = np.concatenate([np.ones(known, bool), alive(*(rest[k][known:begin] for k in (0, 2, 3))), np.zeros(len(slot) - begin, bool)])
+            ended = [r[known:begin] for r in rest]
+            yield told(ended, parts(ended[0], *ended[2:]))
             if len(slot) - begin > LONG:  # goes on in the next batch; all that come have as many beside them
                 large = slot[-1]
-                keep[begin:] = True
+                yield pa.record_batch({"slot": slot[begin:], "part": np.zeros(len(slot) - begin, np.int64), "node": rest[1][begin:]})
                 begin = len(slot)
-            yield pa.record_batch({"slot": slot[keep], "node": rest[1][keep]})
             rest = [r[begin:] for r in rest]
-        keep = alive(rest[0], rest[2], rest[3])
-        yield pa.record_batch({"slot": rest[0][keep], "node": rest[1][keep]})
+        yield told(rest, parts(rest[0], *rest[2:]))
 
     keyed = nodes.select(F.posexplode("keys").alias("c", "key"), "node", "b0", "b1")
     keyed = keyed.select((F.shiftleft(F.col("c").cast("long"), 32) + F.col("key")).alias("slot"), "node", "b0", "b1")
-    met = mapped(keyed.repartition("slot").sortWithinPartitions("slot"), run, "slot long, node long")
-    return met.select(F.shiftright("slot", 32).cast("int").alias("c"), F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("key"), "node")
+    met = mapped(keyed.repartition("slot").sortWithinPartitions("slot"), run, "slot long, part long, node long")
+    return met.select(F.shiftright("slot", 32).cast("int").alias("c"), F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("key"), "node", F.xxhash64("slot", "part").alias("place"))
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """c, key, node: the members of a key of which another member may be similar."""
+    return gatherings(nodes).select("c", "key", "node")
 
 
 def _may_link(a, b) -> Column:
@@ -220,12 +243,13 @@ def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(texts.join(nodes.select(F.col("node").alias("t_node")), F.col("node") == F.col("t_node"), "left_semi"), run, "s_node long, own array<long>")
 
 
-def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the pairs of ``mine`` (c, key, node, size, bits, root, hub, hub_met) that share a key, lie in different components and may be similar.
+def remaining_pairs(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: the pairs of ``nodes`` (node, size, bits, root, hub) that share a place of ``met`` (place, k_node), lie in different components and may be similar.
 
     In a group around a common text most pairs are too far apart, and their
     number is the square of the group's. So each node belongs to the group of
-    the hub it meets most. Of a group of at most ``SMALL`` all pairs are made; a
+    the hub it meets most, and places count only for pairs of different groups and
+    for those of a large group that its common set makes possible. Of a group of at most ``SMALL`` all pairs are made; a
     larger one has a common set: the shingles that more than 8 sqrt(n) (and over
     ``SMALL``) of its n members have. Two sets that share nothing beside the
     common set share at most what each has of it; where that is too little, they
@@ -235,11 +259,9 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
     hashes do: sets that must share ``need`` of them share one before the last
     ``need`` - 1 of either (prefix filter).
     """
-    nodes = mine.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *WORDS, "root")], F.max_by("hub", F.struct("hub_met", "hub")).alias("hub"))
-    nodes = materialise(nodes, "open-nodes")
-    many = nodes.groupBy(F.col("hub").alias("m_hub")).agg(F.count("*").alias("members"))
-    nodes = materialise(nodes.join(many, F.col("hub") == F.col("m_hub")).drop("m_hub"), "grouped")
-    small, large = nodes.where(F.col("members") <= SMALL), nodes.where(F.col("members") > SMALL)
+    many = nodes.groupBy(F.col("hub").alias("m_hub")).agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    groups = materialise(nodes.join(many, F.col("hub") == F.col("m_hub")).drop("m_hub"), "grouped")
+    small, large = groups.where(F.col("members") <= SMALL), groups.where(F.col("members") > SMALL)
     sets = large.select("node", "hub", "members", "size").join(sets_of(large, texts), F.col("node") == F.col("s_node")).drop("s_node")
     sets = materialise(sets, "sets")
     common = sets.select("hub", "members", F.explode("own").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n"), F.first("members").alias("members"))
@@ -255,45 +277,67 @@ def remaining_pairs(mine: DataFrame, texts: DataFrame) -> DataFrame:
     apart_yet = (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _may_link(F.col, lambda k: F.col(f"o_{k}"))
     other = lambda d: d.select(*[F.col(x).alias(f"o_{x}") for x in d.columns])
     made = lambda d, by: d.join(other(d), by & apart_yet).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-    same_hub, on_key = F.col("hub") == F.col("o_hub"), (F.col("c") == F.col("o_c")) & (F.col("key") == F.col("o_key"))
+    same_hub, on_place = F.col("hub") == F.col("o_hub"), F.col("place") == F.col("o_place")
     enough = F.least("both", "o_both") * (LEAST.numerator + LEAST.denominator) >= (F.col("size") + F.col("o_size")) * LEAST.numerator
     held = nodes.join(near.select("s_node", "both"), F.col("node") == F.col("s_node"), "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    keyed = materialise(mine.select("c", "key", F.col("node").alias("k_node")).join(held.select(*cols), F.col("k_node") == F.col("node")).select("c", "key", *cols), "keyed")
+    held = materialise(held.select(*cols), "held")
+    ends = met.join(held.select("node", "root", "hub"), F.col("k_node") == F.col("node"))
+    ends = ends.groupBy(F.col("place").alias("s_place")).agg(*[f(c).alias(f"{n}_{c}") for c in ("root", "hub") for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = materialise(ends.where("lo_root <> hi_root").select("s_place", (F.col("lo_hub") != F.col("hi_hub")).alias("mixed")), "ends")
+    # a pair for which the common set is enough differs in size by LEAST at most
+    able = F.col("both") * LEAST.denominator >= F.col("size") * LEAST.numerator
+    keyed = met.join(held, F.col("k_node") == F.col("node")).join(ends, (F.col("place") == F.col("s_place")) & (F.col("mixed") | able))
+    keyed = materialise(keyed.select("place", *cols), "keyed")
     beside = materialise(large.join(near, F.col("node") == F.col("s_node")).select(*cols, F.explode("ahead").alias("h")), "beside")
-    by_key = made(keyed, on_key & (~same_hub | enough))
+    by_key = made(keyed, on_place & (~same_hub | enough))
     by_own = made(beside, same_hub & (F.col("h") == F.col("o_h")))
     return by_key.unionByName(by_own).unionByName(made(small.select(*[c for c in cols if c != "both"]), same_hub)).distinct()
 
 
+def merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (node, root) with the components joined that ``links`` (a, b: nodes) connect."""
+    to = lambda c: placed.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
+    edges = links.join(to("a"), F.col("a") == F.col("n_a")).join(to("b"), F.col("b") == F.col("n_b")).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
+    last = components(edges).select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
+    return materialise(placed.join(last, F.col("root") == F.col("l_node"), "left").select("node", F.coalesce("l_root", "root").alias("root")), "placed")
+
+
 def linked(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """node, root of all nodes: the same root for all that links connect."""
+    """node, root of all nodes: the same root for all that links connect.
+
+    First a node is held against the hub that it meets most, then members of a
+    place against its pivots unless they are connected, then the pairs that are left.
+    """
     cols = ["node", "size", *WORDS]
-    on_key = (F.col("c") == F.col("s_c")) & (F.col("key") == F.col("s_key"))
-    met = materialise(meetings(nodes), "meetings")
-    shared = materialise(met.groupBy(F.col("c").alias("s_c"), F.col("key").alias("s_key")).agg(F.count("*").alias("m")).where("m > 1"), "keys")
-    met = materialise(met.withColumnRenamed("node", "k_node").join(nodes.select(*cols), F.col("k_node") == F.col("node")).join(shared, on_key).select("c", "key", *cols, "m"), "met")
-    # the text that most others resemble meets most of them: as a pivot of all its keys it gathers a group around it
+    here = F.col("place") == F.col("s_place")
+    met = materialise(gatherings(nodes).select("place", "node"), "meetings")
+    shared = materialise(met.groupBy(F.col("place").alias("s_place")).agg(F.count("*").alias("m")).where("m > 1"), "keys")
+    met = materialise(met.withColumnRenamed("node", "k_node").join(nodes.select(*cols), F.col("k_node") == F.col("node")).join(shared, here).select("place", *cols, "m"), "met")
+    # the text that most others resemble meets most of them: as a pivot of all its places it gathers a group around it
     popular = met.groupBy(F.col("node").alias("v_node")).agg(F.sum("m").alias("met"))
-    met = materialise(met.join(popular, F.col("node") == F.col("v_node")).select("c", "key", *cols, "met"), "met")
+    met = materialise(met.join(popular, F.col("node") == F.col("v_node")).select("place", *cols, "met"), "met")
     own = F.struct(*cols, "met")
-    pivots = met.groupBy(F.col("c").alias("s_c"), F.col("key").alias("s_key")).agg(F.array(F.max_by(own, F.struct("met", "node")), F.min(own), F.max_by(own, F.struct("size", "node"))).alias("pivots"))
-    met = materialise(met.join(pivots, on_key).select("c", "key", *cols, "pivots"), "met")
-    close = F.filter("pivots", lambda p: (p["node"] != F.col("node")) & _may_link(lambda k: p[k], F.col))
-    pairs = met.select("node", F.explode(F.transform(close, lambda p: p["node"])).alias("other"))
+    hubs = met.groupBy(F.col("place").alias("s_place")).agg(F.max_by(own, F.struct("met", "node")).alias("hub"))
+    met = materialise(met.join(hubs, here).select("place", *cols, "met", "hub"), "met")
+    rank = F.struct("hub.met", "hub.node")
+    close = (F.col("hub.node") != F.col("node")) & _may_link(lambda k: F.col("hub")[k], F.col)
+    gathered = met.groupBy("node").agg(*[F.first(c).alias(c) for c in cols[1:]], F.max_by("hub.node", rank).alias("hub"), F.max_by(F.when(close, F.col("hub.node")), F.when(close, rank)).alias("other"))
+    gathered = materialise(gathered, "gathered")
+    texts = texts_of(gathered, prints, docs, text)
+    placed = merged(nodes.select("node", F.col("node").alias("root")), verified(gathered.where("other is not null").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), texts))
+
+    rooted = lambda: met.select("place", *cols, "met").join(placed.select(F.col("node").alias("p_node"), "root"), F.col("node") == F.col("p_node")).drop("p_node")
+    mine = materialise(rooted(), "rooted")
+    own = F.struct(*cols, "met", "root")
+    pivots = mine.groupBy(F.col("place").alias("s_place")).agg(F.array(F.max_by(own, F.struct("met", "node")), F.min(own), F.max_by(own, F.struct("size", "node"))).alias("pivots"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    close = F.filter("pivots", lambda p: (p["root"] != F.col("root")) & _may_link(lambda k: p[k], F.col))
+    others = F.transform(close, lambda p: p["node"])
+    pairs = mine.join(pivots.where("lo <> hi").drop("lo", "hi"), here & (F.size(others) > 0)).select("node", F.explode(others).alias("other"))
     pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    texts = texts_of(met.select("node"), prints, docs, text)
-    first = components(verified(pairs, texts)).select(F.col("node").alias("f_node"), F.col("root").alias("f_root"))
-    placed = materialise(nodes.select("node").join(first, F.col("node") == F.col("f_node"), "left").select("node", F.coalesce("f_root", "node").alias("root")), "placed")
-
-    at = placed.select(F.col("node").alias("p_node"), "root")
-    mine = met.select("c", "key", *cols, F.col("pivots")[0]["node"].alias("hub"), F.col("pivots")[0]["met"].alias("hub_met")).join(at, F.col("node") == F.col("p_node")).drop("p_node")
-    open_ = mine.groupBy("c", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("c").alias("q_c"), F.col("key").alias("q_key"))
-    mine = materialise(mine.join(open_, (F.col("c") == F.col("q_c")) & (F.col("key") == F.col("q_key")), "left_semi"), "open")
-    more = verified(remaining_pairs(mine, texts), texts)
-    to = lambda c: placed.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))
-    edges = more.join(to("a"), F.col("a") == F.col("n_a")).join(to("b"), F.col("b") == F.col("n_b")).select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))
-    last = components(edges).select(F.col("node").alias("l_node"), F.col("root").alias("l_root"))
-    return placed.join(last, F.col("root") == F.col("l_node"), "left").select("node", F.coalesce("l_root", "root").alias("root"))
+    placed = merged(placed, verified(pairs, texts))
+
+    grouped = gathered.drop("other").join(placed.select(F.col("node").alias("p_node"), "root"), F.col("node") == F.col("p_node")).drop("p_node")
+    return merged(placed, verified(remaining_pairs(met.select("place", F.col("node").alias("k_node")), materialise(grouped, "open-nodes"), texts), texts))
 
 
 def near_components(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -154,3 +154,50 @@ def test_rows_for_the_second_round(spark, monkeypatch):
     assert Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect()) == want
     longest = max(len(brute_set(t)) for _, t in rows)
     assert made["sets"] > 20 and 0 < made["beside"] <= made["sets"] * (longest // 5 + 1)
+
+
+def test_parts_of_a_key():
+    """Members of a key that differ in few bits share a part, also over others; each slot is for itself."""
+    r = np.random.default_rng(7)
+    bits = lambda n: r.integers(-(1 << 63), (1 << 63) - 1, (n, 2), np.int64)
+    chain = np.repeat(bits(1), 4, axis=0)
+    for k in range(1, 4):
+        chain[k:, 0] ^= np.int64(((1 << 21) - 1) << (21 * (k - 1)))
+        chain[k:, 1] ^= np.int64(((1 << 20) - 1) << (20 * (k - 1)))
+    slot, rows = [], []
+    for s in range(30):
+        one = np.concatenate([chain, np.repeat(bits(1), 3, axis=0), bits(5), np.repeat(bits(1), 2, axis=0)])
+        slot += [s] * len(one)
+        rows.append((one, r.permutation(len(one))))
+    got = nearcopies.parts(np.array(slot), *np.concatenate([one[at] for one, at in rows]).T.copy())
+    want = np.array([0] * 4 + [1] * 3 + [-1] * 5 + [2] * 2)
+    for s, (one, at) in enumerate(rows):
+        mine, own = got[s * len(one) : (s + 1) * len(one)], want[at]
+        assert ((mine < 0) == (own < 0)).all()
+        assert all((mine[i] == mine[j]) == (own[i] == own[j]) for i in range(len(one)) for j in range(len(one)) if own[i] >= 0)
+        assert set(mine[mine >= 0] // len(one)) == {s}
+
+
+def test_rows_of_open_keys(spark, monkeypatch):
+    """Keys whose members lie in groups of their own, or share them by chance, give no row for the second round; few pairs are checked."""
+    made, pairs = Counter(), []
+    real, check = nearcopies.materialise, nearcopies.verified
+
+    def counted(df, label="t", keep=False):
+        out = real(df, label, keep)
+        made[label] += out.count()
+        return out
+
+    def checked(asked, texts):
+        asked = real(asked, "asked")
+        pairs.append(asked.count())
+        return check(asked, texts)
+
+    rows = cases()
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA).repartition(3)
+    monkeypatch.setattr(nearcopies, "materialise", counted)
+    monkeypatch.setattr(nearcopies, "verified", checked)
+    got = Counter((x.doc_id, x.component_id) for x in nearcopies.near_copies(docs).collect())
+    assert got == Counter(zip((d for d, _ in rows), brute_components(rows), strict=True))
+    assert made["meetings"] > 1000 and 20 * made["keyed"] < made["meetings"]
+    assert sum(pairs) < 2 * made["open-nodes"]
