@@ -243,6 +243,37 @@ def sets_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(texts.join(nodes.select(F.col("node").alias("t_node")), F.col("node") == F.col("t_node"), "left_semi"), run, "s_node long, own array<long>")
 
 
+def common_sets(sets: DataFrame) -> DataFrame:
+    """c_hub, common: shingles that about t = max(``SMALL``, 8 sqrt(members)) or more of a group's ``sets`` (hub, members, own) have.
+
+    A batch tells the counts over its share of t only; what is not told adds up to
+    t at most. So those over t / 2 are all that more than 1.5 t members have, and
+    none that t / 2 or fewer have. What a group's common set is affects only which
+    pairs are made, never the links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, hubs = b.column("own"), b.column("hub").to_numpy()
+            names, group, here = np.unique(hubs, return_inverse=True, return_counts=True)
+            t = np.zeros(len(names))
+            t[group] = np.maximum(SMALL, 8 * np.sqrt(b.column("members").to_numpy()))
+            least = np.zeros(len(names))
+            least[group] = t[group] * here[group] / b.column("members").to_numpy()
+            g, h = np.repeat(group, own.value_lengths().to_numpy()), own.flatten().to_numpy()
+            order = np.lexsort((h, g))
+            g, h = g[order], h[order]
+            begins = np.flatnonzero(np.concatenate([[len(h) > 0], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(begins, len(h)))
+            told = n > least[g[begins]]
+            at = begins[told]
+            yield pa.record_batch({"hub": names[g[at]], "h": h[at], "n": n[told], "t": t[g[at]]})
+
+    told = mapped(sets.select("hub", F.col("members").cast("long").alias("members"), "own"), run, "hub long, h long, n long, t double")
+    told = told.groupBy("hub", "h").agg(F.sum("n").alias("n"), F.first("t").alias("t")).where("2 * n > t")
+    return told.groupBy(F.col("hub").alias("c_hub")).agg(F.collect_set("h").alias("common"))
+
+
 def remaining_pairs(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: the pairs of ``nodes`` (node, size, bits, root, hub) that share a place of ``met`` (place, k_node), lie in different components and may be similar.
 
@@ -250,8 +281,8 @@ def remaining_pairs(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     number is the square of the group's. So each node belongs to the group of
     the hub it meets most, and places count only for pairs of different groups and
     for those of a large group that its common set makes possible. Of a group of at most ``SMALL`` all pairs are made; a
-    larger one has a common set: the shingles that more than 8 sqrt(n) (and over
-    ``SMALL``) of its n members have. Two sets that share nothing beside the
+    larger one has a common set (``common_sets``): the shingles that more than some
+    8 sqrt(n) (and over ``SMALL``) of its n members have. Two sets that share nothing beside the
     common set share at most what each has of it; where that is too little, they
     can't be similar. Hence pairs of one large group are made only if it is
     enough, or from a shingle that both have beside the common set, which no more
@@ -264,9 +295,7 @@ def remaining_pairs(met: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataF
     small, large = groups.where(F.col("members") <= SMALL), groups.where(F.col("members") > SMALL)
     sets = large.select("node", "hub", "members", "size").join(sets_of(large, texts), F.col("node") == F.col("s_node")).drop("s_node")
     sets = materialise(sets, "sets")
-    common = sets.select("hub", "members", F.explode("own").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n"), F.first("members").alias("members"))
-    common = common.where(F.col("n") > F.greatest(F.lit(float(SMALL)), 8 * F.sqrt("members"))).groupBy(F.col("hub").alias("c_hub")).agg(F.collect_set("h").alias("common"))
-    common = materialise(common, "common")
+    common = materialise(common_sets(sets), "common")
     none = F.array().cast("array<bigint>")
     near = sets.join(common, F.col("hub") == F.col("c_hub"), "left").withColumn("common", F.coalesce("common", none))
     near = near.select(F.col("node").alias("s_node"), "size", F.size(F.array_intersect("own", "common")).alias("both"), F.array_sort(F.array_except("own", "common")).alias("beside"))

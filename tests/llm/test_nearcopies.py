@@ -201,3 +201,12 @@ def test_rows_of_open_keys(spark, monkeypatch):
     assert got == Counter(zip((d for d, _ in rows), brute_components(rows), strict=True))
     assert made["meetings"] > 1000 and 20 * made["keyed"] < made["meetings"]
     assert sum(pairs) < 2 * made["open-nodes"]
+
+
+def test_common_sets(spark):
+    """What nearly all of a group have is its common set, what few have is not, however the group is dealt out."""
+    sets = [(g, 300, [1, 2 if i % 10 else -i - 1000, 3 if i < 60 else -i, *range(1000 * i + 10, 1000 * i + 40)]) for g in (7, 8) for i in range(300)]
+    df = spark.createDataFrame([(g, m, sorted(own)) for g, m, own in sets], "hub long, members long, own array<long>")
+    for n in (1, 7, 60):
+        assert {r.c_hub: sorted(r.common) for r in nearcopies.common_sets(df.repartition(n)).collect()} == {7: [1, 2], 8: [1, 2]}
+    assert nearcopies.common_sets(df.where("false")).count() == 0
